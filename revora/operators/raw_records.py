@@ -4,8 +4,9 @@ A record is read by a four-state automaton (field start, plain field, inside
 quotes, after a closing quote).  Dynamic programming finds the cheapest series
 of edits, insertion or deletion of a quote or of a delimiter, after which the
 record has the wanted number of fields.  Cost zero means a well-formed record.
-Quote edits weigh more than delimiter edits, so a record gets a quote edit
-exactly when no reading without one exists.  Records of cost zero are then
+Quote edits weigh more than delimiter edits, and a delimiter edit joins or
+splits fields without changing how their quotes are read, so a record gets a
+quote edit exactly when its quoting is broken.  Records of cost zero are then
 checked for their types; all others state their reason by the edits.
 
 Defined results: a null record counts as a record of no fields
@@ -64,24 +65,23 @@ def edit_cost(raw: str, width: int) -> tuple[int, int, int, int]:
     cost = np.full((4, width), _NEVER)  # state x delimiters read so far
     cost[_START, 0] = 0
 
+    steps = np.arange(width, dtype=np.int64) * (_D + _DI)
+
     def insertions() -> None:
-        for s, t in ((_START, _INSIDE), (_CLOSED, _INSIDE), (_INSIDE, _CLOSED)):
+        for s, t in ((_CLOSED, _INSIDE), (_INSIDE, _CLOSED), (_START, _INSIDE)):
             np.minimum(cost[t], cost[s] + (_Q + _QI), out=cost[t])
-        best = cost[[_START, _PLAIN, _CLOSED]].min(axis=0)
-        # a chain of inserted delimiters: a running minimum over the field count
-        steps = np.arange(width, dtype=np.int64) * (_D + _DI)
-        run = np.minimum.accumulate(best - steps) + steps
-        np.minimum(cost[_START, 1:], run[:-1] + (_D + _DI), out=cost[_START, 1:])
-        np.minimum(cost[_INSIDE], cost[_START] + (_Q + _QI), out=cost[_INSIDE])
+        for s in (_START, _PLAIN):  # a chain of inserted delimiters: a running minimum over the field count
+            np.minimum(cost[s], np.minimum.accumulate(cost[s] - steps) + steps, out=cost[s])
         np.minimum(cost, _NEVER, out=cost)
 
     insertions()
     for m in _SYMBOL.finditer(raw):
         symbol, new = m.group(), np.full((4, width), _NEVER)
         if symbol == "\t":
-            new[:] = cost + _D  # delete it; inside quotes it is text
-            new[_INSIDE] = cost[_INSIDE]
-            np.minimum(new[_START, 1:], cost[[_START, _PLAIN, _CLOSED]].min(axis=0)[:-1], out=new[_START, 1:])
+            new[_INSIDE] = cost[_INSIDE]  # inside quotes it is text
+            ended = cost[[_START, _PLAIN, _CLOSED]].min(axis=0)
+            new[_START] = ended + _D  # deleted
+            np.minimum(new[_START, 1:], ended[:-1], out=new[_START, 1:])
         elif symbol == '"':
             new[:] = cost + _Q
             new[_PLAIN] = cost[_PLAIN]

@@ -61,3 +61,19 @@ def keys_above(df: DataFrame, key: str, spread_by: str, share: float) -> DataFra
     counts = salted_aggregate(df, key, spread_by, {"n": F.count(F.lit(1))}, {"n": F.sum("n")}, share=min(share, HEAVY_SHARE))
     total = df.count()
     return counts.filter(F.col(key).isNotNull() & (F.col("n") > F.lit(share * total))).select(key, "n")
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: str, spread_by: str, heavy: list, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join ``left`` to ``right``, whose ``on`` is unique, where ``heavy`` keys hold much of ``left``.
+
+    The left rows of a heavy key are spread over ``salts`` tasks and its one
+    right row is repeated that often; ``heavy`` must come from a share of the
+    rows, so the repetition is bounded.
+    """
+    if not heavy:
+        return left.join(right, on, how)
+    hot = F.col(on).isin(*heavy)
+    a = left.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0))
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    b = right.withColumn("_salt", F.explode(copies))
+    return a.join(b, [on, "_salt"], how).drop("_salt")
