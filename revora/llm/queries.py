@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..runtime import spread
 from ..sources.tables import table
-from . import survivor
+from . import mojibake, survivor
+
+
+def _review_texts(spark: SparkSession, folder: str) -> DataFrame:
+    a = table(spark, folder, "review").select(F.lit("review").alias("tab"), F.col("id").alias("rec_id"), "text")
+    b = table(spark, folder, "sample_reviews").select(F.lit("sample_reviews").alias("tab"), F.col("row_no").alias("rec_id"), F.col("review").alias("text"))
+    return a.unionByName(b)
+
+
+def p6_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Every damaged text with its encoding chains and what could be restored."""
+    texts = _review_texts(spark, folder)
+    return mojibake.damaged(spread(texts), mojibake.fit(texts), {"tab": "string", "rec_id": "bigint"})
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_restored(spark, folder).select("tab", "rec_id")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -13,6 +30,6 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.kept(survivor.survivors(rows))
 
 
-QUERIES = {f.__name__: f for f in (p7_found,)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_restored, p7_found)}
 
 SQL: dict[str, str] = {}
