@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import spread
 from ..sources.tables import table
-from . import mojibake, survivor
+from . import mojibake, survivor, tokenize
 
 
 def _review_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,6 +30,10 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.kept(survivor.survivors(rows))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_restored, p7_found)}
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenize.encode_corpus(spread(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_restored, p7_found, p8_ids)}
 
 SQL: dict[str, str] = {}
