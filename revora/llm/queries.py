@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import spread
 from ..sources.tables import table
-from . import mojibake, survivor, tokenize
+from . import mojibake, stuffing, survivor, tokenize
 
 
 def _review_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,6 +34,16 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.encode_corpus(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_restored, p7_found, p8_ids)}
+def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of words in prose, link lists, tag lists and menus, of every page with words."""
+    pages = table(spark, folder, "documents").select("doc_id", "text")
+    return stuffing.page_shares(spread(pages), stuffing.fit(pages))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffing.flagged(p10_shares(spark, folder)).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_restored, p7_found, p8_ids, p10_found, p10_shares)}
 
 SQL: dict[str, str] = {}
