@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import spread
 from ..sources.tables import table
-from . import mojibake, stuffing, survivor, tokenize
+from . import leak, mojibake, stuffing, survivor, tokenize
 
 
 def _review_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,6 +34,16 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.encode_corpus(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
 
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that holds an item, with the share of the item it holds."""
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    return leak.leaked(documents, table(spark, folder, "eval_items").select("item_id", "text"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_shares(spark, folder).select("doc_id", "item_id")
+
+
 def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
     """The share of words in prose, link lists, tag lists and menus, of every page with words."""
     pages = table(spark, folder, "documents").select("doc_id", "text")
@@ -44,6 +54,6 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return stuffing.flagged(p10_shares(spark, folder)).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_restored, p7_found, p8_ids, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_restored, p7_found, p8_ids, p9_found, p9_shares, p10_found, p10_shares)}
 
 SQL: dict[str, str] = {}
