@@ -6,7 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import spread
 from ..sources.tables import table
-from . import leak, mojibake, stuffing, survivor, tokenize
+from . import leak, mojibake, names, stuffing, survivor, tokenize
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    facility = table(spark, folder, "facility").select(F.col("id").alias("facility_id"), "name")
+    typed = table(spark, folder, "sample_reviews").select(F.col("row_no").alias("rec_id"), F.col("place_name").alias("name"))
+    roots, links = names.linked(facility, typed)
+    registered = roots.filter("facility_id <> root").select(F.col("root").alias("facility_id"), F.lit("facility").alias("tab"), F.col("facility_id").alias("rec_id"))
+    first = facility.select(F.col("facility_id").alias("root"), F.col("name").alias("first_name"))
+    rows = links.join(first, "root").filter(~F.col("name").eqNullSafe(F.col("first_name")))
+    return registered.unionByName(rows.select(F.col("root").alias("facility_id"), F.lit("sample_reviews").alias("tab"), "rec_id"))
 
 
 def _review_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,6 +64,6 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return stuffing.flagged(p10_shares(spark, folder)).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_restored, p7_found, p8_ids, p9_found, p9_shares, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p5_found, p6_found, p6_restored, p7_found, p8_ids, p9_found, p9_shares, p10_found, p10_shares)}
 
 SQL: dict[str, str] = {}
