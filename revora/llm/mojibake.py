@@ -26,6 +26,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .sampling import hash_sample
+
 #: Bound of the training sample, in texts.
 SAMPLE_TEXTS = 4000
 BUCKETS = 16381
@@ -250,8 +252,7 @@ def _undo_escapes(text: str) -> tuple[str, bool]:
 
 def fit(texts: DataFrame, column: str = "text", sample: int = SAMPLE_TEXTS) -> Model:
     """Train on the ``sample`` texts with the smallest hashes among those beyond ASCII."""
-    chosen = texts.filter(F.col(column).rlike(r"[^\x00-\x7F]")).select(F.substring(column, 1, 2000).alias("t"), F.xxhash64(column).alias("h"))
-    return Model.train([r["t"] for r in chosen.orderBy("h", "t").limit(sample).collect()])
+    return Model.train(hash_sample(texts.filter(F.col(column).rlike(r"[^\x00-\x7F]")), column, sample, 2000))
 
 
 def damaged(texts: DataFrame, model: Model, keys: dict[str, str], column: str = "text") -> DataFrame:
