@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import comparison, problems, ratings
 
-_MODULES = (problems,)
+_MODULES = (problems, ratings, comparison)
 
 
 def queries() -> dict:
