@@ -23,7 +23,7 @@ def against_others(matrix: DataFrame, peers: Column | None = None) -> DataFrame:
     total, n = F.sum(F.when(p, F.col("score"))).over(w), F.sum(p.cast("int")).over(w)
     own = p.cast("int")
     base = F.try_divide(F.coalesce(total, F.lit(0.0)) - F.when(p, F.col("score")).otherwise(0.0), n - own)
-    return matrix.withColumn("baseline", fixed(base, 6)).filter("baseline is not null").withColumn("diff", fixed(F.col("score") - F.col("baseline"), 6))
+    return matrix.withColumn("baseline", fixed(base, 4)).filter("baseline is not null").withColumn("diff", fixed(F.col("score") - F.col("baseline"), 4))
 
 
 def strengths(compared: DataFrame, n: int = SHOWN) -> DataFrame:
@@ -42,7 +42,7 @@ def calibration(matrix: DataFrame) -> DataFrame:
     """Mean and spread (at least LEAST_SPREAD) of each metric over the whole market; none where facilities are too few."""
     s = fixed(F.col("score"), 1)
     agg = matrix.groupBy("metric").agg(F.countDistinct("facility_id").alias("n"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("sd"))
-    return agg.filter(F.col("n") >= LEAST_FACILITIES).select("metric", "n", fixed(F.col("mean"), 6).alias("mean"), fixed(F.greatest("sd", F.lit(LEAST_SPREAD)), 6).alias("spread"))
+    return agg.filter(F.col("n") >= LEAST_FACILITIES).select("metric", "n", fixed(F.col("mean"), 4).alias("mean"), fixed(F.greatest("sd", F.lit(LEAST_SPREAD)), 4).alias("spread"))
 
 
 def calibrated(matrix: DataFrame) -> DataFrame:
@@ -50,12 +50,12 @@ def calibrated(matrix: DataFrame) -> DataFrame:
     stats = calibration(matrix).select("metric", "mean", "spread")
     z = (fixed(F.col("score"), 1) - F.col("mean")) / F.col("spread")
     five = F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.lit(CENTRE) + z * POINTS_PER_SPREAD))
-    return matrix.join(stats, "metric", "left").select("facility_id", "metric", "score", fixed(F.coalesce(five * 20, F.col("score")), 6).alias("calibrated"), F.col("mean").isNotNull().alias("is_calibrated"))
+    return matrix.join(stats, "metric", "left").select("facility_id", "metric", "score", fixed(F.coalesce(five * 20, F.col("score")), 4).alias("calibrated"), F.col("mean").isNotNull().alias("is_calibrated"))
 
 
 def market_trend(matrix: DataFrame, n: int = SHOWN) -> DataFrame:
     """The metrics with the highest and lowest market means."""
-    means = matrix.groupBy("metric").agg(fixed(F.avg("score"), 6).alias("market_mean"))
+    means = matrix.groupBy("metric").agg(fixed(F.avg("score"), 4).alias("market_mean"))
     good = means.orderBy(F.desc("market_mean"), "metric").limit(n).withColumn("side", F.lit("good"))
     return good.unionByName(means.orderBy("market_mean", "metric").limit(n).withColumn("side", F.lit("bad")))
 
@@ -78,4 +78,4 @@ def issues(compared: DataFrame, n: int = FINDINGS) -> DataFrame:
     rows = compared.select("facility_id", "metric", fixed(F.col("score") / 20, 2).alias("score5"), fixed(F.col("baseline") / 20, 2).alias("base5"), fixed((F.col("score") - F.col("baseline")) / 20, 2).alias("gap5"))
     w = Window.partitionBy("facility_id").orderBy("gap5", "metric")
     rows = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
-    return rows.select("*", F.when(F.col("rank") == 1, "high").otherwise("medium").alias("priority"), fixed(F.least(F.lit(1.0), F.abs("gap5") / FULL_IMPACT), 6).alias("impact"))
+    return rows.select("*", F.when(F.col("rank") == 1, "high").otherwise("medium").alias("priority"), fixed(F.least(F.lit(1.0), F.abs("gap5") / FULL_IMPACT), 4).alias("impact"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import comparison, problems, ratings
+from . import comparison, problems, ratings, texts, topics
 
-_MODULES = (problems, ratings, comparison)
+_MODULES = (problems, ratings, comparison, texts, topics)
 
 
 def queries() -> dict:
