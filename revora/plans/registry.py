@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import comparison, problems, ratings, selection, texts, topics
+from . import comparison, ingest, problems, ratings, selection, texts, topics
 
-_MODULES = (problems, ratings, comparison, texts, topics, selection)
+_MODULES = (problems, ratings, comparison, texts, topics, selection, ingest)
 
 
 def queries() -> dict:
