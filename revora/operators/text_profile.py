@@ -39,7 +39,8 @@ def keywords(scores: DataFrame, n: int = SHOWN) -> DataFrame:
 
 def phrases(texts: DataFrame, n: int, shown: int = SHOWN) -> DataFrame:
     """The commonest runs of n tokens of each facility, of those that repeat."""
-    grams = texts.select("facility_id", F.explode(ngrams(tokens(F.col("text")), n)).alias("phrase")).groupBy("facility_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
+    made = F.flatten(F.transform(F.array(tokens(F.col("text"))), lambda t: ngrams(t, n)))  # the tokens are made once
+    grams = texts.select("facility_id", F.explode(made).alias("phrase")).groupBy("facility_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("facility_id").orderBy(F.desc("n"), "phrase")
     return grams.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") <= shown) & (F.col("n") >= LEAST_REPEATS)).select("facility_id", "rank", "phrase", "n")
 
@@ -89,11 +90,14 @@ def _is_one_of(words: tuple[str, ...]) -> Callable[[Column], Column]:
 def axis_emphasis(reviews: DataFrame) -> DataFrame:
     """How much each facility's reviews speak of each axis, the most spoken of as 100."""
     n = reviews.groupBy("facility_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(tokens(F.col("text")))).alias("tokens"))
-    cells = []
-    for axis, words in lexicons.AXES.items():
-        hits = F.size(F.filter(tokens(F.col("text")), _is_one_of(words)))
-        cells.append(F.struct(F.lit(axis).alias("axis"), hits.alias("hits"), contains_any(F.col("text"), words).cast("int").alias("has")))
-    rows = reviews.select("facility_id", F.explode(F.array(*cells)).alias("c")).groupBy("facility_id", F.col("c.axis").alias("axis")).agg(F.sum("c.hits").alias("hits"), F.sum("c.has").alias("has"))
+
+    def cells(t: Column) -> Column:
+        return F.array(*(
+            F.struct(F.lit(a).alias("axis"), F.size(F.filter(t, _is_one_of(ws))).alias("hits"), contains_any(F.col("text"), ws).cast("int").alias("has")) for a, ws in lexicons.AXES.items()
+        ))
+
+    made = F.flatten(F.transform(F.array(tokens(F.col("text"))), cells))
+    rows = reviews.select("facility_id", F.explode(made).alias("c")).groupBy("facility_id", F.col("c.axis").alias("axis")).agg(F.sum("c.hits").alias("hits"), F.sum("c.has").alias("has"))
     raw = rows.join(n.filter("tokens > 0"), "facility_id").withColumn("raw", F.col("hits") / F.col("tokens") * 100 + F.col("has") / F.col("n") * 20)
     top = F.max("raw").over(Window.partitionBy("facility_id"))
     return raw.select("facility_id", "axis", fixed(F.coalesce(F.try_divide(F.col("raw"), top), F.lit(0.0)) * 100, 1).alias("emphasis"))

@@ -8,13 +8,14 @@ from ..functions import lexicons
 from ..functions.columns import contains_any_sql, fixed_sql, total_occurrences_sql
 from ..functions.text import PLAIN_SPLIT, language, language_sql, ngrams_sql, tokens_sql, topic_sentences, topic_sentences_sql, trimmed, trimmed_sql
 from ..operators import text_profile
+from ..runtime import spread
 from ..sources.tables import table
 
 SHORT_CHARS = 10
 
 
 def _texts(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    return table(spark, folder, "review").select("facility_id", "text", *columns).filter("text is not null and text <> '' and facility_id is not null")
+    return spread(table(spark, folder, "review").select("facility_id", "text", *columns).filter("text is not null and text <> '' and facility_id is not null"))
 
 
 def sentences(spark: SparkSession, folder: str) -> DataFrame:
