@@ -59,28 +59,36 @@ def sentences(texts: DataFrame) -> DataFrame:
 
 
 def cosines(spark: SparkSession, found: DataFrame) -> DataFrame:
-    """(facility_id, id, pos, near): the cosine to every topic a sentence shares a term with, as a map."""
+    """(facility_id, id, pos, cos): the cosine of a sentence to every topic, of sentences that share a term with one.
+
+    The terms of all sentences are joined to the vocabulary once and gathered
+    back per sentence; the topics' share of it is a lookup in the lexicon.
+    """
     terms = found.select("facility_id", "id", "pos", F.explode(tokens(F.col("sentence"))).alias("term")).groupBy("facility_id", "id", "pos", "term").agg(F.count(F.lit(1)).alias("tf"))
     n = found.groupBy("facility_id").agg(F.count(F.lit(1)).alias("n"))
     stats = terms.groupBy("facility_id", "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     w = Window.partitionBy("facility_id").orderBy(F.desc("total"), "term")
     vocabulary = stats.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= VOCABULARY).join(n, "facility_id")
     vocabulary = vocabulary.select("facility_id", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    topics = F.broadcast(spark.createDataFrame(topic_terms(), "topic int, term string, times int"))  # the lexicon, a fixed size
-    projected = vocabulary.join(topics, "term").withColumn("tw", F.col("times") * F.col("idf"))
-    length = projected.groupBy("facility_id", "topic").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("t_len"))
-    weighted = terms.join(vocabulary, ["facility_id", "term"]).withColumn("sw", F.col("tf") * F.col("idf"))
-    own = weighted.groupBy("facility_id", "id", "pos").agg(F.sqrt(F.sum(F.col("sw") * F.col("sw"))).alias("s_len"))
-    dots = weighted.join(projected.select("facility_id", "term", "topic", "tw"), ["facility_id", "term"]).groupBy("facility_id", "id", "pos", "topic").agg(F.sum(F.col("sw") * F.col("tw")).alias("dot"))
-    # lengths are normalised first, as the vectors are
-    near = dots.join(own, ["facility_id", "id", "pos"]).join(length, ["facility_id", "topic"]).withColumn("cos", F.col("dot") / (F.col("s_len") * F.col("t_len")) / (1 + 1e-12))
-    return near.groupBy("facility_id", "id", "pos").agg(F.map_from_entries(F.collect_list(F.struct("topic", "cos"))).alias("near"))
-
-
-def chances(near: Column) -> Column:
-    """The chance of every topic, from the map of cosines; equal chances where it is null."""
+    by_term: dict[str, list[tuple[int, int]]] = {}
+    for topic, term, times in topic_terms():
+        by_term.setdefault(term, []).append((topic, times))
+    topics = F.broadcast(spark.createDataFrame(list(by_term.items()), "term string, topics array<struct<topic:int,times:int>>"))  # the lexicon, a fixed size
+    length = vocabulary.join(topics, "term").select("facility_id", "idf", F.explode("topics").alias("t")).groupBy("facility_id", F.col("t.topic").alias("topic"))
+    length = length.agg(F.sqrt(F.sum(F.pow(F.col("t.times") * F.col("idf"), F.lit(2.0)))).alias("size")).groupBy("facility_id").agg(F.map_from_entries(F.collect_list(F.struct("topic", "size"))).alias("sizes"))
+    weighted = terms.join(vocabulary, ["facility_id", "term"]).join(topics, "term", "left").withColumn("w", F.col("tf") * F.col("idf"))
+    shared = F.transform("topics", lambda t: F.struct(t["topic"].alias("topic"), (F.col("w") * F.col("idf") * t["times"]).alias("d")))
+    gathered = weighted.groupBy("facility_id", "id", "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"), F.flatten(F.collect_list(shared)).alias("parts")).filter(F.size("parts") > 0)
+    k = F.sequence(F.lit(0), F.lit(len(lexicons.TOPICS) - 1))
+    product = lambda i: F.aggregate(F.filter("parts", lambda p: p["topic"] == i), F.lit(0.0), lambda s, p: s + p["d"])
+    cos = F.transform(k, lambda i: F.coalesce(F.try_divide(product(i), F.col("size") * F.try_element_at("sizes", i)) / (1 + 1e-12), F.lit(0.0)))
+    return gathered.join(length, "facility_id").select("facility_id", "id", "pos", cos.alias("cos"))
+
+
+def chances(cos: Column) -> Column:
+    """The chance of every topic, from the cosines to them; equal chances where they are null."""
     n = len(lexicons.TOPICS)
-    cos = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at(near, i), F.lit(0.0)))
+    cos = F.coalesce(cos, F.array_repeat(F.lit(0.0), n))
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     return _with(cos, lambda c: _with(add(c) / n, lambda mean: _with(F.sqrt(add(F.transform(c, lambda x: (x - mean) * (x - mean))) / n), lambda sd: _softmax(
         F.transform(c, lambda x: (x - mean) / (sd + 1e-6) / F.least(F.lit(0.7), F.greatest(F.lit(0.05), 0.3 / (sd + 1e-6)))), n))))
@@ -93,7 +101,7 @@ def _with(value: Column, body) -> Column:  # noqa: ANN001
 
 def _softmax(logits: Column, n: int) -> Column:
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    return _with(logits, lambda z: _with(F.transform(z, lambda x: F.exp(x - F.array_max(z))), lambda e: _with(add(e), lambda t: _with(
+    return _with(logits, lambda z: _with(_with(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top))), lambda e: _with(add(e), lambda t: _with(
         F.transform(e, lambda x: x / t + F.greatest(x / t - 1.0 / n, F.lit(0.0)) * BOOST), lambda b: _with(add(b), lambda u: F.transform(b, lambda x: x / u))))))
 
 
@@ -101,14 +109,15 @@ def scored_sentences(spark: SparkSession, texts: DataFrame) -> DataFrame:
     """(facility_id, id, pos, v, p): sentiment and topic chances of every sentence."""
     found = sentences(texts)
     felt = with_sentiment(found).select("facility_id", "id", "pos", "v")
-    return felt.join(cosines(spark, found), ["facility_id", "id", "pos"], "left").select("facility_id", "id", "pos", "v", chances(F.col("near")).alias("p"))
+    return felt.join(cosines(spark, found), ["facility_id", "id", "pos"], "left").select("facility_id", "id", "pos", "v", F.when(F.col("cos").isNull(), F.array_repeat(F.lit(1.0 / len(lexicons.TOPICS)), len(lexicons.TOPICS))).otherwise(chances(F.col("cos"))).alias("p"))
 
 
 def topic_scores(scored: DataFrame) -> DataFrame:
     """Per facility and topic: score, salience and sentiment; means over sentences per review, then over reviews."""
-    cells = scored.select("facility_id", "id", "v", F.posexplode("p").alias("topic", "chance"))
-    per_review = cells.groupBy("facility_id", "id", "topic").agg(F.avg(F.col("v") * F.col("chance")).alias("s"), F.avg("chance").alias("c"))
-    agg = per_review.groupBy("facility_id", "topic").agg(F.avg("s").alias("s"), F.avg("c").alias("c"), F.count(F.lit(1)).alias("n_reviews"))
+    k = range(len(lexicons.TOPICS))
+    per_review = scored.groupBy("facility_id", "id").agg(*(F.avg(F.col("v") * F.col("p")[i]).alias(f"s{i}") for i in k), *(F.avg(F.col("p")[i]).alias(f"c{i}") for i in k))
+    wide = per_review.groupBy("facility_id").agg(F.count(F.lit(1)).alias("n_reviews"), *(F.avg(f"{x}{i}").alias(f"{x}{i}") for x in "sc" for i in k))
+    agg = wide.select("facility_id", "n_reviews", F.posexplode(F.array(*(F.struct(F.col(f"s{i}").alias("s"), F.col(f"c{i}").alias("c")) for i in k))).alias("topic", "m")).select("facility_id", "n_reviews", "topic", "m.s", "m.c")
     sentiment = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(F.col("c") > 1e-9, F.col("s") / F.col("c")).otherwise(0.5)))
     names, weights = F.array(*map(F.lit, lexicons.TOPICS)), F.array(*map(F.lit, topic_weights()))
     at = F.col("topic") + 1
