@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import spread
 from ..sources.tables import table
-from . import leak, mojibake, names, stuffing, survivor, tokenize
+from . import fusion, leak, mojibake, names, stuffing, survivor, tokenize
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,6 +40,11 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.kept(survivor.survivors(rows))
 
 
+def p7_fused(spark: SparkSession, folder: str) -> DataFrame:
+    """The most probable value of each field, by Bayesian fusion of the crawls."""
+    return fusion.fused(table(spark, folder, "review").select("id", "facility_id", "review_id", "reviewer_name", "review_date", "text", "owner_response", "likes", "fetched_at"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.encode_corpus(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
@@ -64,6 +69,6 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return stuffing.flagged(p10_shares(spark, folder)).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_found, p6_restored, p7_found, p8_ids, p9_found, p9_shares, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p5_found, p6_found, p6_restored, p7_found, p7_fused, p8_ids, p9_found, p9_shares, p10_found, p10_shares)}
 
 SQL: dict[str, str] = {}
