@@ -151,16 +151,24 @@ def blocks(name: str) -> list[str]:
         t = full_kinds(s)
         if len(s) < 3:
             return ["j:" + s] if s else []
-        keys = {"a" + s[:2], "b" + s[0] + s[2], "c" + s[1:3]}
+        keys = {"a" + s[:2], "b" + s[0] + s[2:4], "c" + s[1:4]}
         keys |= {"d" + s[0] + t[-5:], "e" + s[1] + t[-5:], "f" + s[0] + t[-2:] + (s[3:5])}
         return sorted("j:" + k for k in keys)
-    words = [t for t, _, _ in latin(name)]
-    whole = "".join(words)
+    tokens = latin(name)
+    whole = "".join(t for t, _, _ in tokens)
     if not whole:
         return []
-    tokens = sorted({soundex(t[:5])[:2] for t in words})
-    # the whole name, for names that lost their spaces
-    return ["l:" + whole[:5] + "+" + whole[-3:], *sorted("l:" + a + "|" + b for a, b in combinations(tokens[:6], 2))]
+    keys = {"w" + whole[:5] + "+" + whole[-3:]}  # for names that lost their spaces
+    main = [t for t, _, aside in tokens if not aside]
+    for words in ([t for t, _, _ in tokens], main, [t for t in main if len(t) > 2]):
+        words = words[:6]
+        for i, j in combinations(range(len(words)), 2):
+            pair = "|".join(sorted((soundex(words[i][:5])[:2], soundex(words[j][:5])[:2])))
+            rest = [w for k, w in enumerate(words) if k not in (i, j)]
+            # the other tokens tell apart what two codes don't, by their first or by their last letters
+            keys.add("p" + pair + "+" + "".join(sorted(w[0] for w in rest)))
+            keys.add("q" + pair + "-" + "".join(sorted(w[-1] for w in rest)))
+    return sorted("l:" + k for k in keys)
 
 
 def swaps_distance(a: str, b: str, most: int) -> int:
@@ -261,8 +269,11 @@ def _near_token(a: tuple[str, bool, bool], b: tuple[str, bool, bool], known: fro
             return 1.25
     if known is not None and bucket(x) in known and bucket(y) in known:
         return None  # two words of their own
-    if len(y) < 4 or len(x) < 3 or jaro_winkler(x, y) < 0.75:
-        return 1.0 if len(x) == len(y) == 3 and sorted(x) == sorted(y) else None
+    if len(x) < 4 and len(y) <= 4 and len(x) >= 2:  # one slip in a short word; another letter only where that makes no word
+        other = len(x) == len(y) and sorted(x) != sorted(y)
+        return 1.0 if swaps_distance(x, y, 1) == 1 and not (other and known is None) else None
+    if len(x) < 3 or jaro_winkler(x, y) < 0.75:
+        return None
     most = 2.5 if len(y) >= 7 else 2.0 if len(y) >= 6 else 1.5
     d = slips_distance(x, y, most)
     if d > most or len(x) == len(y) and x[1:] == y[1:] and (known is None or not (bucket(x) in known or bucket(y) in known)):
