@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.columns import fixed
+
 #: The prefectures at which a place's address is cut from its name, and the mark of a substitute id.
 SUBSTITUTE = "h:"
 PREFECTURE = r"^(.+?)[ 　,、]*(?:\S{2,3}[都道府県])"
@@ -127,4 +129,4 @@ def column_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
     )
     numeric = F.col("numbers") > F.greatest(F.col("rows") * 0.3, F.lit(1.0))
     show = lambda c: F.when(numeric, c)
-    return agg.select("column", "filled", F.round(100 * F.col("filled") / F.col("rows"), 1).alias("filled_pct"), "n_distinct", numeric.alias("numeric"), show(F.round(F.col("total") / F.col("numbers"), 3)).alias("mean"), show(F.col("least")).alias("least"), show(F.col("greatest")).alias("greatest"))
+    return agg.select("column", "filled", fixed(100.0 * F.col("filled") / F.col("rows"), 1).alias("filled_pct"), "n_distinct", numeric.alias("numeric"), show(fixed(F.col("total") / F.col("numbers"), 2)).alias("mean"), show(F.col("least")).alias("least"), show(F.col("greatest")).alias("greatest"))

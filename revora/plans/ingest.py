@@ -215,8 +215,8 @@ SQL = {
     "ledger_monthly": """SELECT day, kind, n, CAST(sum(n) OVER (PARTITION BY kind ORDER BY day ROWS UNBOUNDED PRECEDING) AS BIGINT) AS so_far FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2)""",
     "budgeted_sync": f"SELECT * FROM {_BUDGET}",
     "sync_plan": f"SELECT CAST(sum(n) AS BIGINT) AS available, CAST(sum(fetched) AS BIGINT) AS will_fetch, CAST(sum(n) - sum(fetched) AS BIGINT) AS shortfall, sum(n) > {BUDGET} AS exceeds, CAST(sum(advances::INT) AS BIGINT) AS complete FROM {_BUDGET}",
-    "column_profile": " UNION ALL ".join(f"""SELECT '{c}' AS "column", filled, round(100.0::DOUBLE * filled / rows, 1) AS filled_pct, n_distinct, numbers > greatest(rows * 0.3, 1) AS numeric,
-        CASE WHEN numbers > greatest(rows * 0.3, 1) THEN round(total / numbers, 3) END AS mean, CASE WHEN numbers > greatest(rows * 0.3, 1) THEN least END AS least, CASE WHEN numbers > greatest(rows * 0.3, 1) THEN greatest END AS greatest
+    "column_profile": " UNION ALL ".join(f"""SELECT '{c}' AS "column", filled, {fixed_sql('(100.0::DOUBLE * filled / rows)', 1)} AS filled_pct, n_distinct, numbers > greatest(rows * 0.3, 1) AS numeric,
+        CASE WHEN numbers > greatest(rows * 0.3, 1) THEN {fixed_sql('(total / numbers)', 2)} END AS mean, CASE WHEN numbers > greatest(rows * 0.3, 1) THEN least END AS least, CASE WHEN numbers > greatest(rows * 0.3, 1) THEN greatest END AS greatest
         FROM (SELECT count(*) AS rows, count(v) AS filled, count(DISTINCT v) AS n_distinct, count({_num('v')}) AS numbers, sum({_num('v')}) AS total, min({_num('v')}) AS least, max({_num('v')}) AS greatest FROM (SELECT nullif(trim({c}, ' '), '') AS v FROM sample_reviews))""" for c in PROFILED),
     "url_parse": f"SELECT row_no, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, {_urlname('url')} AS name FROM sample_reviews WHERE url IS NOT NULL AND url <> ''",
     "newest_n_per_facility": f"SELECT facility_id, id FROM (SELECT facility_id, id, {utc_time_sql('review_date')} AS day_at FROM review WHERE facility_id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY facility_id ORDER BY day_at DESC NULLS LAST, id) <= {LIMIT}",
