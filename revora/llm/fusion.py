@@ -29,7 +29,7 @@ from ..runtime import materialize
 from .survivor import candidates, stripped
 
 FIELDS = ("review_id", "text", "owner_response", "likes")
-MOST_SOURCES, ROUNDS = 600, 3
+MOST_SOURCES, ROUNDS = 600, 4
 #: Prior accuracy, number of likely false values, prior chance of copying, share of values a copier copies.
 ACCURACY, FALSE_VALUES, COPYING, COPIED = 0.8, 10.0, 0.1, 0.8
 #: Dependences below this are left out of votes.
@@ -108,8 +108,9 @@ def _dependences(found: DataFrame, accuracy: dict[str, float]) -> dict[str, floa
         a = min(0.99, max(0.05, (accuracy.get(r["a"], ACCURACY) + accuracy.get(r["b"], ACCURACY)) / 2))
         t, f = a * a, (1 - a) ** 2 / FALSE_VALUES
         d = max(1e-9, 1 - t - f)
-        alone = r["kt"] * math.log(t) + r["kf"] * math.log(f) + r["kd"] * math.log(d)
-        copied = r["kt"] * math.log(a * COPIED + t * (1 - COPIED)) + r["kf"] * math.log((1 - a) * COPIED + f * (1 - COPIED)) + r["kd"] * math.log(d * (1 - COPIED))
+        # sharing what is true is no sign of copying; sharing what is false is, and differing speaks against it
+        alone = r["kf"] * math.log(f) + r["kd"] * math.log(d)
+        copied = r["kf"] * math.log((1 - a) * COPIED + f * (1 - COPIED)) + r["kd"] * math.log(d * (1 - COPIED))
         odds = math.log((1 - COPYING) / COPYING) + alone - copied
         chance = 1 / (1 + math.exp(min(700, max(-700, odds))))
         if chance >= NOTED:
@@ -124,10 +125,11 @@ def fused(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     accuracy: dict[str, float] = {}
     copies: dict[str, float] = {}
-    for _ in range(rounds):
+    for number in range(rounds):
         found = materialize(_chances(held, accuracy, copies), "chances")
         by_source = found.select(F.explode("sources").alias("source"), "chance").groupBy("source").agg(F.avg("chance").alias("a")).collect()
         accuracy = {r["source"]: r["a"] for r in by_source}
-        copies = _dependences(found, accuracy)
+        if number:  # the first round's votes know no accuracies yet, so they can't tell what is false
+            copies = _dependences(found, accuracy)
     best = F.max(F.struct(F.round("chance", 6).alias("chance"), (-F.col("id")).alias("o"), "value"))
     return _chances(held, accuracy, copies).groupBy("first_id", "field").agg(best.alias("b")).select("first_id", "field", "b.value", (-F.col("b.o")).alias("keep_id"), "b.chance")
