@@ -1,7 +1,7 @@
 """Bayesian fusion of the copies' field values, with detection of sources that copy.
 
-Sources are crawls, told apart by the month of ``fetched_at``, so their number
-is bounded however many rows there are.  Each source claims one value for a
+Sources are crawls, told apart by the month of ``fetched_at``, each field of
+theirs for itself, so their number is bounded however many rows there are.  Each source claims one value for a
 field of a group.  Rounds estimate in turn: the chance of every value from the
 discounted votes of its sources; the accuracy of every source from the chances
 of its claims; and for every two sources the chance that one copies the other,
@@ -29,7 +29,7 @@ from ..runtime import materialize
 from .survivor import candidates, stripped
 
 FIELDS = ("review_id", "text", "owner_response", "likes")
-MOST_SOURCES, ROUNDS = 600, 4
+MOST_SOURCES, ROUNDS = 2000, 4
 #: Prior accuracy, number of likely false values, prior chance of copying, share of values a copier copies.
 ACCURACY, FALSE_VALUES, COPYING, COPIED = 0.8, 10.0, 0.1, 0.8
 #: Dependences below this are left out of votes.
@@ -60,7 +60,8 @@ def claims(rows: DataFrame) -> DataFrame:
     groups = groups.join(large, "first_id").select("part", "first_id")
     cells = joined.select("part", "source", "id", F.explode("cells").alias("c")).filter("c.value is not null and source is not null")
     distinct = cells.groupBy("part", "source", F.col("c.field").alias("field"), F.col("c.value").alias("value")).agg(F.min("id").alias("id"))
-    return distinct.join(groups, "part").groupBy("first_id", "field", "source", "value").agg(F.min("id").alias("id"))
+    # a crawl may be careful with one field and careless with another
+    return distinct.join(groups, "part").groupBy("first_id", "field", F.concat_ws("@", "field", "source").alias("source"), "value").agg(F.min("id").alias("id"))
 
 
 def _lookup(table: dict, key: Column, default: float) -> Column:
