@@ -18,6 +18,8 @@ from .graph import components
 
 #: Query vectors that a pass over all rows takes at once, and the bound on the number of clusters.
 BLOCK, MOST_CLUSTERS = 2000, 5000
+#: Bound of the points that density-based clustering takes in one task, as it needs all their distances.
+MOST_POINTS = 20_000
 
 
 def unit(v: Column) -> Column:
@@ -256,3 +258,93 @@ def _under(splits: dict, node: int) -> set[int]:
         out.add(c)
         stack += splits.get(c, ())
     return out
+
+
+def group_scaled(features: DataFrame, groups: dict[str, tuple[list[str], float]], key: str, share: float = 0.75) -> DataFrame:
+    """(key, u): features with nulls at the median, standardised by the population's spread, each group scaled to its weight's share of ``share``.
+
+    Medians (0.5 where nothing is known), means and spreads come from two passes
+    over the columns; a feature that doesn't vary is 0.
+    """
+    names = [n for ns, _ in groups.values() for n in ns]
+    middle = features.agg(*(F.median(n).alias(n) for n in names)).first()
+    filled = features.select(key, *(F.coalesce(F.col(n).cast("double"), F.lit(float(middle[n]) if middle[n] is not None else 0.5)).alias(n) for n in names))
+    stats = filled.agg(*(F.avg(n).alias(f"m_{n}") for n in names), *(F.stddev_pop(n).alias(f"s_{n}") for n in names)).first()
+    total = sum(w for _, w in groups.values())
+    cells = []
+    for ns, w in groups.values():
+        scale = (share * w / total / len(ns)) ** 0.5
+        cells += [(F.col(n) - float(stats[f"m_{n}"] or 0.0)) / float(stats[f"s_{n}"]) * scale if stats[f"s_{n}"] else F.lit(0.0) for n in ns]
+    return filled.select(key, F.array(*cells).alias("u"))
+
+
+def principal(vectors: DataFrame, size: int, most: int = 12, share: float = 0.25, key: str = "vec_id") -> DataFrame:
+    """(key, u): the first principal components of vectors, centred, scaled to ``share``; the covariance is made of sums of products."""
+    n = vectors.count()
+    if n < 2:
+        return vectors.select(key, F.array().cast("array<double>").alias("u"))
+    sums = vectors.agg(*(F.sum(F.col("u")[i]).alias(f"_{i}") for i in range(size))).first()
+    mean = np.array([sums[i] for i in range(size)]) / n
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((size, size))
+        for b in batches:
+            if len(b):
+                x = np.stack(b["u"].to_numpy()) - mean
+                total += x.T @ x
+        yield pd.DataFrame({"i": np.repeat(np.arange(size), size), "j": np.tile(np.arange(size), size), "x": total.ravel()})
+
+    rows = vectors.select("u").mapInPandas(products, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect()  # size squared
+    cov = np.zeros((size, size))
+    for r in rows:
+        cov[r["i"], r["j"]] = r["x"] / (n - 1)
+    values, axes = np.linalg.eigh(cov)
+    k = min(most, size, n - 1)
+    axes = axes[:, ::-1][:, :k]
+    axes *= np.where(axes[np.abs(axes).argmax(axis=0), np.arange(k)] < 0, -1, 1)  # a sign that doesn't depend on the solver
+    scale = (share / k) ** 0.5 / np.sqrt(np.maximum(values[::-1][:k], 1e-12))
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({key: b[key], "u": list((np.stack(b["u"].to_numpy()) - mean) @ axes * scale)})
+
+    return vectors.select(key, "u").mapInPandas(project, f"{key} bigint, u array<double>")
+
+
+def mixture(points: np.ndarray, k: int, rounds: int = 100, floor: float = 1e-4, seed: int = 42) -> np.ndarray:
+    """Memberships of a bounded set of points in k diagonal Gaussians, fitted by expectation maximisation from spread-out starts."""
+    rng = np.random.default_rng(seed)
+    n = len(points)
+    centres = [points[rng.integers(n)]]
+    while len(centres) < k:
+        gap = np.min([((points - c) ** 2).sum(1) for c in centres], axis=0)
+        centres.append(points[int(gap.argmax())])
+    mean, var, weight, last = np.array(centres), np.tile(points.var(0) + floor, (k, 1)), np.full(k, 1 / k), -np.inf
+    for _ in range(rounds):
+        logs = np.log(weight) - 0.5 * (np.log(2 * np.pi * var).sum(1) + (((points[:, None, :] - mean) ** 2) / var).sum(2))
+        top = logs.max(1, keepdims=True)
+        total = top + np.log(np.exp(logs - top).sum(1, keepdims=True))
+        r = np.exp(logs - total)
+        if total.sum() - last < 1e-6 * n:
+            break
+        last, size = total.sum(), r.sum(0) + 1e-10
+        weight, mean = size / n, (r.T @ points) / size[:, None]
+        var = (r.T @ points**2) / size[:, None] - mean**2 + floor
+        var = np.maximum(var, floor)
+    return r
+
+
+def matched(memberships: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The columns of memberships in the order of labels 0..k-1, by the assignment with the greatest total membership."""
+    k = memberships.shape[1]
+    gain = np.array([[memberships[labels == a, c].sum() for c in range(k)] for a in range(k)])
+    best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
+    for a in range(k):  # over sets of columns taken; k is small
+        step: dict[int, tuple[float, tuple[int, ...]]] = {}
+        for taken, (value, order) in best.items():
+            for c in range(k):
+                if not taken >> c & 1 and (v := value + gain[a, c]) > step.get(taken | 1 << c, (-np.inf, ()))[0]:
+                    step[taken | 1 << c] = (v, (*order, c))
+        best = step
+    return memberships[:, list(best[(1 << k) - 1][1])]

@@ -145,6 +145,8 @@ def hdbscan_labels(spark: SparkSession, folder: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
+        if len(pdf) > vectors.MOST_POINTS:
+            raise ValueError(f"a label has more than {vectors.MOST_POINTS} vectors")
         pdf = pdf.sort_values("vec_id")
         least = max(2, min(12, round(0.7 * len(pdf) ** 0.5)))
         return pd.DataFrame({"vec_id": pdf["vec_id"], "label": pdf["label"], "cluster": vectors.density_clusters(np.stack(pdf["u"].to_numpy()), least)})
@@ -152,6 +154,18 @@ def hdbscan_labels(spark: SparkSession, folder: str) -> DataFrame:
     return _units(spark, folder).groupBy("label").applyInPandas(run, "vec_id bigint, label int, cluster int")
 
 
+def principal_components(spark: SparkSession, folder: str) -> DataFrame:
+    u = vectors.principal(_units(spark, folder), 64, most=4)
+    return u.select("vec_id", F.transform("u", lambda x: F.round(x, 6)).alias("components"))
+
+
+def scaled_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Order features of every customer, groups scaled by weight."""
+    o = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("vec_id")).agg(F.count(F.lit(1)).alias("orders"), F.avg("o_totalprice").alias("price"), F.max("o_totalprice").alias("top"))
+    u = vectors.group_scaled(o, {"amount": (["price", "top"], 3.0), "frequency": (["orders"], 1.0)}, "vec_id")
+    return u.select("vec_id", F.transform("u", lambda x: F.round(x, 6)).alias("scaled"))
+
+
 def kmeans_topics(spark: SparkSession, folder: str) -> DataFrame:
     """Five clusters of review texts by TF-IDF, with their sizes and three commonest terms."""
     from pyspark.ml.clustering import KMeans
@@ -178,7 +192,7 @@ def stream_dedup_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     review_records, infer_facilities, surrogate_ids, dedup_reviews, upsert_facility, upsert_scores, cascade_delete, ledger_monthly, budgeted_sync, sync_plan, column_profile, url_parse,
-    newest_n_per_facility, onboarding, cosine_topk, cluster_medoids, canonical_labels, prototype_membership, absorb_noise, hdbscan_labels, kmeans_topics, stream_dedup_counts,
+    newest_n_per_facility, onboarding, cosine_topk, cluster_medoids, canonical_labels, prototype_membership, absorb_noise, hdbscan_labels, principal_components, scaled_features, kmeans_topics, stream_dedup_counts,
 )}
 
 _num = lambda c: f"(CASE WHEN regexp_matches(trim({c}, ' '), '^[+-]?(\\d+\\.?\\d*|\\.\\d+)$') THEN try_cast(trim({c}, ' ') AS DOUBLE) END)"
