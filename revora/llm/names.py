@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import components
 from ..operators.salted import SALTS
-from ..runtime import materialize, spread
+from ..runtime import materialize
 
 #: Old or variant forms of characters and their common forms.
 OLD_FORMS = dict(zip("舘會濱峯澤嶋嶌櫻國廣齋齊斎邊邉澁瀧龍藏學寶圓惠髙﨑眞淺鐵", "館会浜峰沢島島桜国広斉斉斉辺辺渋滝竜蔵学宝円恵高崎真浅鉄"))
@@ -339,12 +339,12 @@ def known_words(registered: DataFrame) -> frozenset[int]:
 
 
 def close_pairs(names: DataFrame, registered: DataFrame, share: float = 0.005) -> DataFrame:
-    """(name, facility_id, slips) of every accepted pair of a name and a registered name (facility_id, name).
+    """(name, facility_id, slips) of every accepted pair of one of distinct names and a registered name (facility_id, name).
 
     Blocks that hold more than ``share`` of the names are salted: their names
     are spread, and their registered names repeated, over several tasks.
     """
-    left, right = _with_blocks(names.select("name").distinct()), _with_blocks(registered.select("facility_id", "name"))
+    left, right = _with_blocks(names.select("name")), _with_blocks(registered.select("facility_id", "name"))
     left = materialize(left, "name-blocks")
     known = names.sparkSession.sparkContext.broadcast(known_words(registered))
     counts = left.groupBy("block").count()
@@ -382,7 +382,9 @@ def linked(facility: DataFrame, typed: DataFrame) -> tuple[DataFrame, DataFrame]
     """(roots, links): (facility_id, root) of every registered name, and (rec_id, root) of every typed row (rec_id, name) that names one."""
     registered = materialize(facility.filter("facility_id is not null and trim(name) <> ''").select("facility_id", "name"), "registered")
     rows = typed.filter("trim(name) <> ''").select("rec_id", "name")
-    pairs = materialize(close_pairs(spread(rows.select("name").union(registered.select("name")).distinct()), registered), "name-pairs")
+    every = rows.select("name").union(registered.select("name")).distinct()
+    every = every.repartition(2 * every.sparkSession.sparkContext.defaultParallelism)  # names are few bytes but much work
+    pairs = materialize(close_pairs(every, registered), "name-pairs")
     # edges between registered names
     edges = pairs.join(registered.select(F.col("facility_id").alias("x"), "name"), "name").select("x", F.col("facility_id").alias("y"))
     found = components(edges, "x", "y")
