@@ -35,7 +35,7 @@ WINDOW, STRIDE = {True: 15, False: 32}, {True: 3, False: 6}
 #: Walks (hash tables), sampled positions of each walk, and the seed of their random bits.
 TABLES, SAMPLED, SEED = 4, 9, 2016
 #: Largest edit distance of a verified sentence, as a share of its length; share of an item that must be verified.
-EDITS, COVERAGE = 0.22, 0.37
+EDITS, COVERAGE = 0.22, 0.40
 #: Items whose windows are broadcast at once; more items take several passes over the documents.
 BLOCK_ITEMS = 2000
 #: Windows embedded at once.
