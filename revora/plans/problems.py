@@ -92,7 +92,7 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_rejects, p1_loaded, p2_found, p2
 SQL = {
     "p3_found": "SELECT facility_id FROM review WHERE facility_id IS NOT NULL GROUP BY facility_id HAVING count(*) > 0.03 * (SELECT count(*) FROM review)",
     "p3_facility_results": """
-        SELECT facility_id, count(*) AS n_reviews, count(rating) AS n_rated, CAST(sum(likes) AS BIGINT) AS sum_likes, max(length(text)) AS longest_text,
+        SELECT facility_id, count(*) AS n_reviews, count(rating) AS n_rated, CAST(sum(likes) AS BIGINT) AS sum_likes, CAST(max(length(text)) AS INT) AS longest_text,
                max(fetched_at) AS latest_fetch, count(DISTINCT reviewer_name) AS n_reviewers, round(sum(rating) / nullif(count(rating), 0), 6) AS avg_rating
         FROM review GROUP BY facility_id""",
 }
