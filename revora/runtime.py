@@ -8,12 +8,16 @@ that setting is missing, as in local tests, a folder of our own is made.
 from __future__ import annotations
 
 import atexit
+import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: list[str] = []
+_SHIPPED: set[str] = set()
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -55,6 +59,25 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for an application, so that Python stages run wherever it isn't installed.
+
+    The archive is made on the driver and served by Spark.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    root = pathlib.Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="revora-code-")
+    atexit.register(_remove_local, folder)
+    archive = os.path.join(folder, f"{root.name}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(archive)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
