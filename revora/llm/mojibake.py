@@ -117,6 +117,8 @@ def undo_lossy(text: str, chain: tuple[tuple[str, str], ...]) -> str:
 def _ends() -> re.Pattern:
     """Where sentences end: after a mark, as it is or as any chain garbles it."""
     marks = {g for c in CHAINS for m in "。！？" if (g := garble(m, c)) and len(g) > 1 and g.strip("�")}
+    # in readings of two bytes a mark's first byte may join the character before it
+    marks |= {g[-2:] for c in CHAINS for x in "すたんい館" if (g := garble(x + "。", c)) and "�" in g[-2:] and any("\x80" <= y <= "\x9f" for y in g[-2:])}
     return re.compile("(" + "|".join(map(re.escape, sorted(marks, key=lambda m: (-len(m), m)))) + r"|[。！？\n]|[.!?](?=\s))")
 
 
@@ -184,7 +186,7 @@ class Model:
             if read == "utf-8":
                 continue  # such a reading loses what it can't read; see below
             free = (written in _BYTEWISE and read in _BYTEWISE) or (written in _PAIRWISE and read in _PAIRWISE)
-            if free and margin[k] < FREE_MARGIN:
+            if free and (margin[k] < FREE_MARGIN or sum(not c.isascii() for c in piece) < 2):
                 continue
             back = undo(piece, CHAINS[k])
             if back is None or back == piece or "�" in back:
