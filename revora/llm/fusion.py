@@ -25,43 +25,44 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.graph import components
+from ..operators.salted import skew_join
 from ..runtime import materialize
-from .survivor import candidates, stripped
+from .survivor import is_vendor_id, keys, stripped
 
 FIELDS = ("review_id", "text", "owner_response", "likes")
 MOST_SOURCES, ROUNDS = 2000, 4
 #: Prior accuracy, number of likely false values, prior chance of copying, share of values a copier copies.
 ACCURACY, FALSE_VALUES, COPYING, COPIED = 0.8, 10.0, 0.1, 0.8
+#: Share of all rows from which a part counts as heavy.
+HEAVY = 0.01
 #: Dependences below this are left out of votes.
 NOTED = 0.2
 
 
 def claims(rows: DataFrame) -> DataFrame:
     """(first_id, field, source, value, id): the distinct claims of every group of two or more copies."""
-    keyed = candidates(rows).select("id", "vendor_key", "content_key")
-    values = rows.select(
-        "id", F.date_format("fetched_at", "yyyy-MM").alias("source"),
-        F.array(*(F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in {
-            "review_id": F.when(~stripped(F.col("review_id")).startswith("h:"), F.nullif(stripped(F.col("review_id")), F.lit(""))),
-            "text": F.nullif(stripped(F.col("text")), F.lit("")),
-            "owner_response": F.nullif(stripped(F.col("owner_response")), F.lit("")),
-            "likes": F.col("likes").cast("string"),
-        }.items())).alias("cells"),
-    )
-    key = F.coalesce(F.concat(F.lit("v"), F.col("vendor_key")), F.concat(F.lit("c"), F.col("content_key")))
-    joined = keyed.join(values, "id").withColumn("part", key).filter("part is not null")
-    own = joined.groupBy("part").agg(F.min("id").alias("part_id"), F.count(F.lit(1)).alias("n"))
+    values = {
+        "review_id": F.when(is_vendor_id(F.col("review_id")), stripped(F.col("review_id"))), "text": F.nullif(stripped(F.col("text")), F.lit("")),
+        "owner_response": F.nullif(stripped(F.col("owner_response")), F.lit("")), "likes": F.col("likes").cast("string"),
+    }
+    cells = F.array(*(F.struct(F.lit(f).alias("field"), values[f].alias("value")) for f in FIELDS))
+    keyed = rows.select("id", *(c.alias(k) for k, c in keys().items()), F.date_format("fetched_at", "yyyy-MM").alias("source"), cells.alias("cells"))
+    part = F.coalesce(F.concat(F.lit("v"), F.col("vendor_key")), F.concat(F.lit("c"), F.col("content_key")))
+    keyed = keyed.withColumn("part", part).filter("part is not null")
+    own = materialize(keyed.groupBy("part").agg(F.min("id").alias("part_id"), F.count(F.lit(1)).alias("n")), "fusion-parts")
     vendor = keyed.filter("vendor_key is not null and content_key is not null").select(F.concat(F.lit("v"), "vendor_key").alias("x"), F.concat(F.lit("c"), "content_key").alias("y")).distinct()
     loose = own.filter(F.col("part").startswith("c")).select(F.col("part").alias("y"), F.col("part_id").alias("b"))
     edges = vendor.join(loose, "y").join(own.select(F.col("part").alias("x"), F.col("part_id").alias("a")), "x")
     roots = components(edges, "a", "b").withColumnRenamed("node", "part_id")
     groups = own.join(roots, "part_id", "left").withColumn("first_id", F.coalesce("root", "part_id"))
-    large = groups.groupBy("first_id").agg(F.sum("n").alias("n")).filter("n >= 2").select("first_id")
-    groups = groups.join(large, "first_id").select("part", "first_id")
-    cells = joined.select("part", "source", "id", F.explode("cells").alias("c")).filter("c.value is not null and source is not null")
-    distinct = cells.groupBy("part", "source", F.col("c.field").alias("field"), F.col("c.value").alias("value")).agg(F.min("id").alias("id"))
+    large = groups.groupBy("first_id").agg(F.sum("n").alias("rows")).filter("rows >= 2")
+    groups = materialize(groups.join(large, "first_id").select("part", "first_id", "n"), "fusion-groups")
+    # only rows of groups go on; a group that holds much of all rows is spread
+    heavy = [r[0] for r in groups.filter(F.col("n") > HEAVY * rows.count()).select("part").collect()]  # at most 1 / HEAVY
+    held = skew_join(keyed.select("part", "source", "id", "cells"), groups.select("part", "first_id"), "part", "id", heavy)
+    found = held.select("first_id", "source", "id", F.explode("cells").alias("c")).filter("c.value is not null and source is not null")
     # a crawl may be careful with one field and careless with another
-    return distinct.join(groups, "part").groupBy("first_id", "field", F.concat_ws("@", "field", "source").alias("source"), "value").agg(F.min("id").alias("id"))
+    return found.groupBy("first_id", F.col("c.field").alias("field"), F.concat_ws("@", "c.field", "source").alias("source"), F.col("c.value").alias("value")).agg(F.min("id").alias("id"))
 
 
 def _lookup(table: dict, key: Column, default: float) -> Column:

@@ -39,25 +39,30 @@ def written_day(date: Column) -> Column:
     return F.when(day != "", F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0")))
 
 
+def is_vendor_id(review_id: Column) -> Column:
+    return review_id.isNotNull() & (stripped(review_id) != "") & ~stripped(review_id).startswith("h:")
+
+
+def keys() -> dict[str, Column]:
+    """A row's vendor key and content key, null where it has none."""
+    real, day, name = is_vendor_id(F.col("review_id")), written_day(F.col("review_date")), F.col("reviewer_name")
+    linked = F.col("facility_id").isNotNull() & (stripped(name) != "") & day.isNotNull() & (stripped(F.col("text")) != "")
+    return {
+        "vendor_key": F.when(real & F.col("facility_id").isNotNull(), F.md5(F.concat_ws("\x1f", F.col("facility_id").cast("string"), stripped(F.col("review_id"))))),
+        "content_key": F.when(linked, F.md5(F.concat_ws("\x1f", F.col("facility_id").cast("string"), name, day, F.col("text")))),
+    }
+
+
 def candidates(rows: DataFrame) -> DataFrame:
     """Per row: its vendor key, its content key, and per field a (preference..., -id) tuple where it qualifies."""
-    vendor = stripped(F.col("review_id"))
-    real = F.col("review_id").isNotNull() & (vendor != "") & ~vendor.startswith("h:")
-    day, name, text = written_day(F.col("review_date")), F.col("reviewer_name"), stripped(F.col("text"))
-    linked = F.col("facility_id").isNotNull() & (stripped(name) != "") & day.isNotNull() & (text != "")
-    fetched, last = F.unix_micros(F.col("fetched_at").cast("timestamp")), -F.col("id")
+    text, fetched, last = stripped(F.col("text")), F.unix_micros(F.col("fetched_at").cast("timestamp")), -F.col("id")
     prefer = {
-        "review_id": F.when(real, F.struct(F.lit(0).alias("a"), fetched.alias("b"), last.alias("c"))),
+        "review_id": F.when(is_vendor_id(F.col("review_id")), F.struct(F.lit(0).alias("a"), fetched.alias("b"), last.alias("c"))),
         "text": F.when(text != "", F.struct(F.length(text).alias("a"), fetched.alias("b"), last.alias("c"))),
         "owner_response": F.when(stripped(F.col("owner_response")) != "", F.struct(F.lit(0).alias("a"), fetched.alias("b"), last.alias("c"))),
         "likes": F.when(F.col("likes").isNotNull(), F.struct(F.lit(0).alias("a"), fetched.alias("b"), last.alias("c"))),
     }
-    return rows.select(
-        "id",
-        F.when(real & F.col("facility_id").isNotNull(), F.md5(F.concat_ws("\x1f", F.col("facility_id").cast("string"), vendor))).alias("vendor_key"),
-        F.when(linked, F.md5(F.concat_ws("\x1f", F.col("facility_id").cast("string"), name, day, F.col("text")))).alias("content_key"),
-        *(c.alias(f) for f, c in prefer.items()),
-    )
+    return rows.select("id", *(c.alias(k) for k, c in keys().items()), *(c.alias(f) for f, c in prefer.items()))
 
 
 def _partial(rows: DataFrame, key: str) -> DataFrame:
