@@ -39,13 +39,18 @@ HEAVY = 0.01
 NOTED = 0.2
 
 
-def claims(rows: DataFrame) -> DataFrame:
-    """(first_id, field, source, value, id): the distinct claims of every group of two or more copies."""
-    values = {
+def _values() -> dict[str, Column]:
+    """What a row claims for each field, null where it claims nothing."""
+    return {
         "review_id": F.when(is_vendor_id(F.col("review_id")), stripped(F.col("review_id"))), "text": F.nullif(stripped(F.col("text")), F.lit("")),
         "owner_response": F.nullif(stripped(F.col("owner_response")), F.lit("")), "likes": F.col("likes").cast("string"),
     }
-    cells = F.array(*(F.struct(F.lit(f).alias("field"), values[f].alias("value")) for f in FIELDS))
+
+
+def claims(rows: DataFrame) -> DataFrame:
+    """(first_id, field, source, value, id): the distinct claims, values hashed, of every group of two or more copies."""
+    # values move as hashes of fixed length
+    cells = F.array(*(F.struct(F.lit(f).alias("field"), F.unhex(F.md5(v)).alias("value")) for f, v in _values().items()))
     keyed = rows.select("id", *(c.alias(k) for k, c in keys().items()), F.date_format("fetched_at", "yyyy-MM").alias("source"), cells.alias("cells"))
     part = F.coalesce(F.concat(F.lit("v"), F.col("vendor_key")), F.concat(F.lit("c"), F.col("content_key")))
     keyed = keyed.withColumn("part", part).filter("part is not null")
@@ -133,5 +138,9 @@ def fused(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         accuracy = {r["source"]: r["a"] for r in by_source}
         if number:  # the first round's votes know no accuracies yet, so they can't tell what is false
             copies = _dependences(found, accuracy)
-    best = F.max(F.struct(F.round("chance", 6).alias("chance"), (-F.col("id")).alias("o"), "value"))
-    return _chances(held, accuracy, copies).groupBy("first_id", "field").agg(best.alias("b")).select("first_id", "field", "b.value", (-F.col("b.o")).alias("keep_id"), "b.chance")
+    best = F.max(F.struct(F.round("chance", 6).alias("chance"), (-F.col("id")).alias("o")))
+    kept = _chances(held, accuracy, copies).groupBy("first_id", "field").agg(best.alias("b")).select("first_id", "field", (-F.col("b.o")).alias("keep_id"), "b.chance")
+    # the values themselves come back from the rows that are kept
+    told = rows.select(F.col("id").alias("keep_id"), *(v.alias(f"_{f}") for f, v in _values().items())).dropDuplicates(["keep_id"])
+    value = F.coalesce(*(F.when(F.col("field") == f, F.col(f"_{f}")) for f in FIELDS))
+    return kept.join(told, "keep_id").select("first_id", "field", value.alias("value"), "keep_id", "chance")
