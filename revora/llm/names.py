@@ -2,10 +2,11 @@
 
 A name is folded (width, case, kana, old forms of characters, legal forms,
 honorifics, decoration) and split into tokens.  Latin tokens lose possessives
-and articles, abbreviations and nicknames are put back, and every pair of the
-sorted tokens' phonetic codes is a block.  Japanese names have no spaces, so
-their blocks are codes of two characters at the head, or one at the head with
-the tail.  Names that share a block are compared token by token with
+and articles, abbreviations and nicknames are put back, and every pair of
+tokens is a block by each pair of their codes: phonetic, first and last letters,
+so that a slip in each of two words leaves one.  Names of one or two tokens have
+blocks of single ones.  Japanese names have no spaces, so their blocks are pairs
+of neighbours at the head, and the kind with each character before it.  Names that share a block are compared token by token with
 Jaro-Winkler similarity; a Japanese name, whose characters carry words and
 where one other character makes another name, must come from the other by
 slips only: a character left out, doubled, swapped or replaced by a filler.
@@ -23,6 +24,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import pandas as pd
@@ -54,6 +56,8 @@ NICKNAMES = {"maggie": "margaret", "meg": "margaret", "peggy": "margaret", "fred
              "kate": "katherine", "kathy": "katherine", "katie": "katherine", "kit": "katherine", "kitty": "katherine", "bill": "william", "will": "william", "billy": "william", "willie": "william", "tom": "thomas", "tommy": "thomas", "dick": "richard",
              "rick": "richard", "rich": "richard", "charlie": "charles", "chuck": "charles", "chas": "charles", "jo": "josephine", "josie": "josephine", "jim": "james", "jack": "john", "harry": "henry", "hal": "henry", "molly": "mary", "polly": "mary",
              "sally": "sarah", "sam": "samuel", "alf": "alfred", "al": "albert", "andy": "andrew", "tony": "anthony", "ben": "benjamin", "dan": "daniel", "dave": "david", "joe": "joseph", "mike": "michael", "nick": "nicholas", "pat": "patricia", "steve": "stephen", "sue": "susan"}
+#: Length of the stretches of a whole name that are blocks.
+WHOLE = 7
 #: Registered names that must share a token for it to be a word of its own, and the number of places such words are hashed to.
 KNOWN_NAMES, KNOWN_BUCKETS = 4, 1 << 20
 _SOUNDEX = {c: d for d, cs in enumerate(("bfpv", "cgjkqsxz", "dt", "l", "mn", "r"), 1) for c in cs}
@@ -144,30 +148,59 @@ def is_japanese(name: str) -> bool:
     return _JA.search(unicodedata.normalize("NFKC", name)) is not None
 
 
+def _japanese_blocks(s: str) -> set[str]:
+    """Pairs of neighbours at the head, for slips in the kind; the kind with each character before it, for slips there."""
+    t = full_kinds(s)
+    kind = max((k for k in map(_kana, KINDS) if t.endswith(k)), key=len, default=t[-3:])
+    # a head of five keeps a pair through one slip, so pairs inside the kind aren't needed
+    last = len(s) - len(kind) if s.endswith(kind) and len(s) >= len(kind) + 5 else len(s) - 1
+    keys = {"b" + s[i : i + 2] for i in range(min(6, last))}
+    keys |= {"k" + kind + "|" + c for c in t[: -len(kind)]}
+    keys |= {"d" + s[0] + t[-5:], "e" + s[1:2] + t[-5:], "f" + s[0] + t[-2:] + s[3:5]}
+    return keys | ({"h" + s[0], "z" + s[-1]} if len(s) < 5 else set())
+
+
+def _token_keys(t: str) -> set[str]:
+    """Keys of which two tokens share one if they are one slip apart, one is the other cut short, or both sound alike."""
+    keys = {"^" + t[:2], "$" + t[-2:], "~" + soundex(t[:5])[:2]}
+    if len(t) < 5:  # a slip in a short token may touch both ends
+        keys |= {"<" + t[0], ">" + t[-1], "#" + "".join(sorted(t))}
+    return keys
+
+
+def _deletions(t: str) -> set[str]:
+    """A token without up to two of its letters, from both ends of a long one."""
+    halves = _deletions(t[:12]) | {"-" + x for x in _deletions(t[-12:])} if len(t) > 21 else set()
+    if len(t) > 24:
+        return halves
+    return halves | {t[:i] + t[i + 1 : j] + t[j + 1 :] for i, j in combinations(range(len(t)), 2)} | {t[:i] + t[i + 1 :] for i in range(len(t))} | {t}
+
+
 def blocks(name: str) -> list[str]:
     """The blocks a name falls into."""
     if is_japanese(name):
         s = japanese(name)
-        t = full_kinds(s)
-        if len(s) < 3:
-            return ["j:" + s] if s else []
-        keys = {"a" + s[:2], "b" + s[0] + s[2:4], "c" + s[1:4]}
-        keys |= {"d" + s[0] + t[-5:], "e" + s[1] + t[-5:], "f" + s[0] + t[-2:] + (s[3:5])}
-        return sorted("j:" + k for k in keys)
+        return sorted("j:" + k for k in _japanese_blocks(s)) if s else []
     tokens = latin(name)
     whole = "".join(t for t, _, _ in tokens)
     if not whole:
         return []
-    keys = {"w" + whole[:5] + "+" + whole[-3:]}  # for names that lost their spaces
-    main = [t for t, _, aside in tokens if not aside]
-    for words in ([t for t, _, _ in tokens], main, [t for t in main if len(t) > 2]):
-        words = words[:6]
-        for i, j in combinations(range(len(words)), 2):
-            pair = "|".join(sorted((soundex(words[i][:5])[:2], soundex(words[j][:5])[:2])))
-            rest = [w for k, w in enumerate(words) if k not in (i, j)]
-            # the other tokens tell apart what two codes don't, by their first or by their last letters
-            keys.add("p" + pair + "+" + "".join(sorted(w[0] for w in rest)))
-            keys.add("q" + pair + "-" + "".join(sorted(w[-1] for w in rest)))
+    # for names that lost their spaces: both ends, and what stands between wherever it stands
+    keys = {"w^" + whole[:5], "w$" + whole[-8:]} | {"w" + whole[i : i + WHOLE] for i in range(len(whole) - WHOLE + 1)}
+    words = sorted({t for t, _, _ in tokens})
+    parts = [_token_keys(t) for t in words]
+    # of three tokens within three slips two are within one slip each
+    for i, j in ((i, j) for i in range(len(words)) for j in range(i + 1, len(words) if len(words) <= 12 else min(i + 7, len(words)))):  # of many words those near in order
+        keys |= {"p" + "|".join(sorted((x, y))) for x in parts[i] for y in parts[j]}
+        for x, y in ((words[i], words[j]), (words[j], words[i])):
+            keys |= {"i" + x[0] + "|" + y[:3]}  # an initial with a token as it is or cut short
+    # of two tokens only one need be so near
+    if len(tokens) < 3 or len(tokens) == 3 and any(aside or len(t) <= 2 for t, _, aside in tokens):
+        for part in parts:
+            keys |= {"t" + x for x in part}
+        keys |= {"i" + t[0] for t in words}
+    if len(tokens) == 1:
+        keys |= {"x" + x for x in _deletions(whole)}
     return sorted("l:" + k for k in keys)
 
 
@@ -175,16 +208,19 @@ def swaps_distance(a: str, b: str, most: int) -> int:
     """Edit distance with swaps of neighbours; most + 1 where it is larger."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before, last = None, list(range(len(b) + 1))
+    over = most + 1
+    before, last = None, [min(j, over) for j in range(len(b) + 1)]
     for i, c in enumerate(a, 1):
-        now = [i]
-        for j, d in enumerate(b, 1):
-            x = min(last[j] + 1, now[-1] + 1, last[j - 1] + (c != d))
+        now = [over] * (len(b) + 1)  # places further from the diagonal than ``most`` hold more
+        now[0] = min(i, over)
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            d = b[j - 1]
+            x = min(last[j] + 1, now[j - 1] + 1, last[j - 1] + (c != d))
             if before is not None and j > 1 and c == b[j - 2] and a[i - 2] == d:
                 x = min(x, before[j - 2] + 1)
-            now.append(x)
+            now[j] = min(x, over)
         if min(now) > most:
-            return most + 1
+            return over
         before, last = last, now
     return last[-1]
 
@@ -240,9 +276,18 @@ def _slips(clean: str, typed: str, short: bool) -> float | None:
     return None if d > most else d + 0.25 * short
 
 
+@lru_cache(maxsize=200_000)
+def _characters(text: str) -> tuple[frozenset[str], list[frozenset[str]]]:
+    """The characters of a name, and of its forms without fillers."""
+    return frozenset(text), [frozenset(f) - FILLERS for f in {text, full_kinds(text)}]
+
+
 def near_japanese(a: str, b: str) -> float | None:
     if a == b:
         return 0.0
+    (own_a, forms_a), (own_b, forms_b) = _characters(a), _characters(b)
+    if not any(f <= own_a for f in forms_b) and not any(f <= own_b for f in forms_a):
+        return None  # each has a character that no slip explains
     if jaro_winkler(a, b) < 0.6:
         return None
     best = None
@@ -281,14 +326,22 @@ def _near_token(a: tuple[str, bool, bool], b: tuple[str, bool, bool], known: fro
     return d
 
 
-def near_latin(a: list[tuple[str, bool, bool]], b: list[tuple[str, bool, bool]], known: frozenset[int] | None = None) -> float | None:
-    """The number of slips between two token lists, or None; a token aside may be left out."""
+def near_latin(a: list[tuple[str, bool, bool]], b: list[tuple[str, bool, bool]], known: frozenset[int] | None = None, cache: dict | None = None) -> float | None:
+    """The number of slips between two token lists, or None; a token aside may be left out. ``cache`` keeps results of tokens."""
     total, left, initials = 0.0, list(b), 0
     unmatched = []
+    cache = {} if cache is None else cache
     for t in sorted(a, key=lambda t: -len(t[0])):
-        scored = [(s, i) for i, u in enumerate(left) if (s := _near_token(t, u, known)) is not None]
+        scored = []
+        for i, u in enumerate(left):
+            if (t, u) not in cache:
+                cache[t, u] = _near_token(t, u, known)
+            if (s := cache[t, u]) is not None:
+                scored.append((s, i))
         if not scored:
             unmatched.append(t)
+            if len(unmatched) > 1:
+                break  # no more than one may be left over
             continue
         s, i = min(scored)
         initials += s == 0.5
@@ -357,6 +410,8 @@ def close_pairs(names: DataFrame, registered: DataFrame, share: float = 0.005) -
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forms: dict[str, object] = {}
+        tokens: dict[tuple, float | None] = {}
+        words = known.value
 
         def form(n: str) -> object:
             if n not in forms:
@@ -369,8 +424,10 @@ def close_pairs(names: DataFrame, registered: DataFrame, share: float = 0.005) -
             rows, seen = [], {}
             for name, fid, other in zip(b["name"], b["facility_id"], b["other"]):
                 if (name, other) not in seen:
+                    if len(tokens) > 500_000:
+                        tokens.clear()
                     (ja, x), (jb, y) = form(name), form(other)
-                    seen[name, other] = None if ja != jb else near_japanese(x, y) if ja else near_latin(x, y, known.value)
+                    seen[name, other] = None if ja != jb else near_japanese(x, y) if ja else near_latin(x, y, words, tokens)
                 if seen[name, other] is not None:
                     rows.append((name, fid, seen[name, other]))
             yield pd.DataFrame(rows, columns=["name", "facility_id", "slips"])

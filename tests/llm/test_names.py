@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from revora.llm import names as n
@@ -63,3 +65,27 @@ def test_blocks_lose_nothing_against_all_pairs(spark, folder):
     near = [(a, b) for a in typed for b in own if n.near(a, b) is not None]
     kept = [(a, b) for a, b in near if set(n.blocks(a)) & set(n.blocks(b))]
     assert len(near) > 50 and len(kept) >= 0.98 * len(near)
+
+
+def test_blocks_hold_slips_in_two_words():
+    pairs = [("Biuleby Waermill Centre", "Birleby Watermill Centre"), ("F. InvernessC ollection", "Frederick Inverness Collection"), ("L. Drumdale Gardens", "Drumdale Gadens (Leonard)"), ("Kelpieholm", "Kepielolm"),
+             ("一般財団法人人鶴浜峠民芸温泉旅館", "鶴浜峠民芸温泉旅館")]
+    for a, b in pairs:
+        assert n.near(a, b, frozenset()) is not None and set(n.blocks(a)) & set(n.blocks(b)), (a, b)
+    words = [f"{c}verdale" for c in "abcdefgh"]  # more than six tokens, the slips in the first of them
+    assert set(n.blocks(" ".join(words))) & set(n.blocks(" ".join(["aevrdale", "bverdle", *words[2:]])))
+
+
+def test_blocks_hold_random_slips():
+    rng, lost, all_near = random.Random(7), [], 0
+    for a, b in SAME + OTHER[:-1]:
+        for name in (a, b):
+            for _ in range(60):
+                x = name
+                for _ in range(rng.randint(1, 3)):
+                    i, how = rng.randrange(len(x) - 1), rng.randrange(4)
+                    x = x[:i] + (x[i + 1] + x[i], "", x[i] * 2, rng.choice("eaノ"))[how] + x[i + (2 if how == 0 else 1) :]
+                if n.near(x, name) is not None:
+                    all_near += 1
+                    lost += [(x, name)] if not set(n.blocks(x)) & set(n.blocks(name)) else []
+    assert all_near > 1000 and len(lost) <= 0.001 * all_near, lost
