@@ -58,8 +58,8 @@ NICKNAMES = {"maggie": "margaret", "meg": "margaret", "peggy": "margaret", "fred
              "sally": "sarah", "sam": "samuel", "alf": "alfred", "al": "albert", "andy": "andrew", "tony": "anthony", "ben": "benjamin", "dan": "daniel", "dave": "david", "joe": "joseph", "mike": "michael", "nick": "nicholas", "pat": "patricia", "steve": "stephen", "sue": "susan"}
 #: Length of the stretches of a whole name that are blocks.
 WHOLE = 7
-#: Registered names that must share a token for it to be a word of its own, and the number of places such words are hashed to.
-KNOWN_NAMES, KNOWN_BUCKETS = 4, 1 << 20
+#: Establishments that must share a token for it to be a word of its own, the share of a close word's establishments below which it is a slip of that word, and the number of places words are hashed to.
+KNOWN_NAMES, KNOWN_SHARE, KNOWN_BUCKETS = 2, 0.1, 1 << 20
 _SOUNDEX = {c: d for d, cs in enumerate(("bfpv", "cgjkqsxz", "dt", "l", "mn", "r"), 1) for c in cs}
 _JA = re.compile(r"[぀-ヿ一-鿿々]")
 
@@ -299,7 +299,12 @@ def near_japanese(a: str, b: str) -> float | None:
     return best
 
 
-def _near_token(a: tuple[str, bool, bool], b: tuple[str, bool, bool], known: frozenset[int] | None) -> float | None:
+def _own_words(n: int, m: int) -> bool:
+    """Whether tokens of n and m establishments are two words; a rare one close to a far more frequent one is a slip."""
+    return min(n, m) >= max(KNOWN_NAMES, KNOWN_SHARE * max(n, m))
+
+
+def _near_token(a: tuple[str, bool, bool], b: tuple[str, bool, bool], known: dict[int, int] | None) -> float | None:
     (x, cut_x, _), (y, cut_y, _) = a, b
     if x == y:
         return 0.0
@@ -312,8 +317,8 @@ def _near_token(a: tuple[str, bool, bool], b: tuple[str, bool, bool], known: fro
             return 0.25
         if len(x) >= 4 and swaps_distance(x, y[: len(x)], 1) <= 1:
             return 1.25
-    if known is not None and bucket(x) in known and bucket(y) in known:
-        return None  # two words of their own
+    if known is not None and _own_words(known.get(bucket(x), 0), known.get(bucket(y), 0)):
+        return None
     if len(x) < 4 and len(y) <= 4 and len(x) >= 2:  # one slip in a short word; another letter only where that makes no word
         other = len(x) == len(y) and sorted(x) != sorted(y)
         return 1.0 if swaps_distance(x, y, 1) == 1 and not (other and known is None) else None
@@ -326,7 +331,7 @@ def _near_token(a: tuple[str, bool, bool], b: tuple[str, bool, bool], known: fro
     return d
 
 
-def near_latin(a: list[tuple[str, bool, bool]], b: list[tuple[str, bool, bool]], known: frozenset[int] | None = None, cache: dict | None = None) -> float | None:
+def near_latin(a: list[tuple[str, bool, bool]], b: list[tuple[str, bool, bool]], known: dict[int, int] | None = None, cache: dict | None = None) -> float | None:
     """The number of slips between two token lists, or None; a token aside may be left out. ``cache`` keeps results of tokens."""
     total, left, initials = 0.0, list(b), 0
     unmatched = []
@@ -364,7 +369,7 @@ def near_latin(a: list[tuple[str, bool, bool]], b: list[tuple[str, bool, bool]],
     return None
 
 
-def near(a: str, b: str, known: frozenset[int] | None = None) -> float | None:
+def near(a: str, b: str, known: dict[int, int] | None = None) -> float | None:
     """How many slips apart two names are; None where they are different names."""
     ja = is_japanese(a)
     if ja != is_japanese(b):
@@ -380,15 +385,29 @@ def _with_blocks(names: DataFrame) -> DataFrame:
     return names.withColumn("block", F.explode(keys("name")))
 
 
-def known_words(registered: DataFrame) -> frozenset[int]:
-    """Places of the tokens that at least KNOWN_NAMES registered names share; at most KNOWN_BUCKETS numbers."""
+def _uses(name: str) -> list[tuple[int, int]]:
+    """(place of a token, hash of the sounds of the other tokens) of a Latin name: notations of one establishment give the same."""
+    if not name or is_japanese(name):
+        return []
+    tokens, out = latin(name), set()
+    for i, (t, _, _) in enumerate(tokens):
+        others = [(soundex(u), aside) for j, (u, _, aside) in enumerate(tokens) if j != i and len(u) > 2]
+        main = [s for s, aside in others if not aside]
+        # what stands aside is an addition if the rest makes a name
+        out.add((bucket(t), zlib.crc32(" ".join(sorted(main if len(main) > 1 else [s for s, _ in others])).encode())))
+    return sorted(out)
+
+
+def known_words(registered: DataFrame) -> dict[int, int]:
+    """Places of the tokens that at least KNOWN_NAMES establishments share, and how many do; at most KNOWN_BUCKETS numbers."""
 
-    @F.pandas_udf("array<int>")
-    def places(column: pd.Series) -> pd.Series:
-        return column.map(lambda n: [] if is_japanese(n) else sorted({bucket(t) for t, _, _ in latin(n)}))
+    @F.pandas_udf("array<struct<p:int,other:bigint>>")
+    def uses(column: pd.Series) -> pd.Series:
+        return column.map(lambda n: [{"p": p, "other": o} for p, o in _uses(n)])
 
-    found = registered.select(F.explode(places("name")).alias("p")).groupBy("p").count().filter(F.col("count") >= KNOWN_NAMES)
-    return frozenset(r[0] for r in found.select("p").collect())
+    each = registered.select(F.explode(uses("name")).alias("u")).select("u.p", "u.other").distinct()
+    found = each.groupBy("p").count().filter(F.col("count") >= KNOWN_NAMES)
+    return {r["p"]: r["count"] for r in found.collect()}
 
 
 def close_pairs(names: DataFrame, registered: DataFrame, share: float = 0.005) -> DataFrame:
