@@ -8,10 +8,14 @@ sampled positions give LSH keys; windows of items, one at every character, are
 kept under the same keys.  A document's windows start every few characters, so
 each copied stretch is met at the offset it has.  A hit names a sentence of an
 item and where it should stand; exact edit distance then verifies it there.
+From a hit outside verified sentences a stretch is followed to both sides for as
+long as matches outweigh edits, so a passage may begin and end inside sentences.
 
-A document holds an item if verified sentences make up COVERAGE of its text.
-A verified sentence may differ by up to EDITS of its length, which admits
-edited words and characters but not the same pattern with other contents.
+A document holds an item if verified sentences and stretches make up COVERAGE of
+its text.  A verified sentence may differ by up to EDITS of its length, which
+admits edited words and characters but not the same pattern with other contents;
+a stretch has at least STRETCH windows and fewer edits.  Sentences shorter
+than a window count where they stand unchanged in a document that has other hits.
 
 Defined results: texts are compared apart from case, width, white space,
 punctuation, markup and invisible characters; null, empty and blank texts and
@@ -36,6 +40,10 @@ WINDOW, STRIDE = {True: 15, False: 32}, {True: 3, False: 6}
 TABLES, SAMPLED, SEED = 4, 9, 2016
 #: Largest edit distance of a verified sentence, as a share of its length; share of an item that must be verified.
 EDITS, COVERAGE = 0.22, 0.40
+#: Least length of a stretch, as a multiple of a window, and its largest share of edits; weight of an edit against a match, and the loss at which following ends.
+STRETCH, STRETCH_EDITS, EDIT_WEIGHT, DROP = 1.5, 0.10, 3, 8
+#: Least length of a short sentence that counts unchanged, for written (CJK) and for other characters.
+SHORT = {True: 7, False: 16}
 #: Items whose windows are broadcast at once; more items take several passes over the documents.
 BLOCK_ITEMS = 2000
 #: Windows embedded at once.
@@ -119,6 +127,30 @@ def edit_distance_within(pattern: str, text: str) -> int:
     return best
 
 
+def follow(a: str, i: int, b: str, j: int, step: int) -> tuple[int, int]:
+    """(places of ``a``, edits) for which ``a`` from i and ``b`` from j agree, forwards or backwards, up to the best score."""
+    first, score, best, edits, kept = i, 0, 0, 0, (0, 0)
+    while 0 <= i < len(a) and 0 <= j < len(b):
+        if a[i] == b[j]:
+            score, i, j = score + 1, i + step, j + step
+            if score > best:
+                best, kept = score, (abs(i - first), edits)
+            continue
+        score, edits = score - EDIT_WEIGHT, edits + 1
+        if best - score > DROP:
+            break
+
+        def agree(x: int, y: int) -> int:
+            n = 0
+            while n < 8 and 0 <= x + n * step < len(a) and 0 <= y + n * step < len(b) and a[x + n * step] == b[y + n * step]:
+                n += 1
+            return n
+
+        _, dx, dy = max((agree(i + step * dx, j + step * dy), dx, dy) for dx, dy in ((1, 1), (1, 0), (0, 1)))
+        i, j = i + step * dx, j + step * dy
+    return kept
+
+
 class Index:
     """The windows of a block of items under their LSH keys."""
 
@@ -126,6 +158,9 @@ class Index:
         self.ids: list = []
         self.sentences: list[tuple[int, str]] = []  # (item, normal text)
         self.length: list[int] = []
+        self.whole: list[str] = []  # normal text of the items
+        self.begin: list[int] = []  # of the sentences in it
+        self.short: list[list[int]] = []  # sentences of the items that no window fits in
         walks = Walks()
         keys, owners, offsets = [], [], []
         for item_id, text in items:
@@ -136,6 +171,7 @@ class Index:
             self.ids.append(item_id)
             whole = "".join(parts)
             self.length.append(len(whole))
+            self.whole.append(whole)
             # windows run over sentence borders, so that short sentences have some too
             flat = np.concatenate([codes(whole), np.zeros(2 * max(WINDOW.values()), np.uint8)])
             written = is_written(whole)
@@ -143,6 +179,9 @@ class Index:
             owner = np.searchsorted(border, np.arange(len(whole)), side="right") - 1
             first = len(self.sentences)
             self.sentences += [(item, p) for p in parts]
+            self.begin += border[:-1].tolist()
+            kinds = [bool(is_written(p).mean() > 0.5) for p in parts]
+            self.short.append([first + i for i, (p, kind) in enumerate(zip(parts, kinds)) if SHORT[kind] <= len(p) < WINDOW[kind] + STRIDE[kind]])
             for kind in (True, False):
                 starts = np.flatnonzero(written == kind)
                 starts = starts[starts <= max(0, len(whole) - WINDOW[kind])].astype(np.int32)
@@ -183,6 +222,7 @@ class Index:
         place = np.arange(len(whole), dtype=np.int32)
         within = place - np.repeat(begins, ends - begins).astype(np.int32)
         hits: dict[int, set[tuple[int, int]]] = defaultdict(set)
+        seeds: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
         for kind in (True, False):
             starts = place[(written == kind) & (within % STRIDE[kind] == 0)]
             for c in range(0, len(starts), CHUNK):
@@ -198,10 +238,12 @@ class Index:
                             doc = int(np.searchsorted(ends, s, side="right"))
                             for w in range(a, b):  # windows of items under one key
                                 # the sentence should begin about here; nearby starts are one candidate
-                                hits[doc].add((int(self.owner[w]), (s - int(begins[doc]) - int(self.offset[w])) // 8))
+                                sentence, offset, at = int(self.owner[w]), int(self.offset[w]), s - int(begins[doc])
+                                hits[doc].add((sentence, (at - offset) // 8))
+                                seeds[doc].add((at, self.begin[sentence] + offset, self.sentences[sentence][0]))
         for doc, found in hits.items():
             text = normals[group[doc]]
-            good: dict[int, int] = defaultdict(int)
+            good: dict[int, np.ndarray] = {item: np.zeros(self.length[item], dtype=bool) for item in {self.sentences[x][0] for x, _ in found}}
             by_sentence: dict[int, set[int]] = defaultdict(set)
             for sentence, at in found:
                 by_sentence[sentence].add(at)
@@ -216,12 +258,28 @@ class Index:
                     last = at
                     start = at * 8
                     if edit_distance_within(pattern, text[max(0, start - allowed - 8) : start + len(pattern) + allowed + 24]) <= allowed:
-                        good[item] += len(pattern)
+                        good[item][self.begin[sentence] : self.begin[sentence] + len(pattern)] = True
                         break
-            for item, chars in good.items():
+            for at, p, item in sorted(seeds[doc]):
+                if not good[item][p : p + 8].all():
+                    self._stretch(text, at, p, item, good[item])
+            for item, held in good.items():
+                for sentence in self.short[item]:
+                    a, pattern = self.begin[sentence], self.sentences[sentence][1]
+                    if not held[a : a + len(pattern)].all() and pattern in text:
+                        held[a : a + len(pattern)] = True
+                chars = int(held.sum())
                 if chars >= COVERAGE * self.length[item]:
                     yield group[doc], self.ids[item], chars / self.length[item]
 
+    def _stretch(self, text: str, at: int, p: int, item: int, held: np.ndarray) -> None:
+        """Marks the places of the item that a stretch of the text around a hit holds."""
+        whole = self.whole[item]
+        (right, x), (left, y) = follow(whole, p, text, at, 1), follow(whole, p - 1, text, at - 1, -1)
+        written = bool(is_written(whole[p - left : p + right]).mean() > 0.5) if left + right else False
+        if left + right >= STRETCH * WINDOW[written] and x + y <= STRETCH_EDITS * (left + right):
+            held[p - left : p + right] = True
+
 
 def leaked(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, share) of every document that holds an item, and the share it holds."""

@@ -103,3 +103,22 @@ def test_table_and_blocks(spark, items, monkeypatch):
         monkeypatch.setattr(leak, "BLOCK_ITEMS", size)
         assert sorted(((r["doc_id"], r["item_id"]) for r in leak.leaked(docs, table).collect()), key=str) == want
     assert leak.leaked(docs.limit(0), table).count() == 0 and leak.leaked(docs, table.limit(0)).count() == 0
+
+
+def test_passages_inside_sentences():
+    first = "The lantern keeper of the northern harbour wrote every evening into a ledger bound in green canvas"
+    second = "while her brother counted herring barrels beside the frozen customs shed"
+    third = "and nobody in the parish remembered who had first painted the weathercock blue"
+    ja = "北の港の灯台守は毎晩緑の布で綴じた帳面に船の名を書き、弟は凍った税関小屋の脇で鰊の樽を数え、風見鶏を初めて青く塗った者を村の誰も覚えていなかった。"
+    index = leak.Index([(1, f"{first}. {second.capitalize()}. {third.capitalize()}."), (2, f"{first} {second} {third}."), (3, ja)])
+    clipped = f"{first}. {second.capitalize()}"[len(first) * 35 // 100 : len(first) + 2 + len(second) * 75 // 100]
+    one = f"{first} {second}"[60:]
+    found = _held(index, ["Some page. " + clipped + " and more of it.", "Some page. " + one[:125] + " zzz.", "別の頁。" + ja[10:45] + "とある。", one[:50], ja[10:30]])
+    assert {(0, 1), (1, 2), (2, 3)} <= found and not {i for i, _ in found} & {3, 4}
+
+
+def test_short_sentences_count_beside_other_hits():
+    long = "Nobody in the parish remembered who painted the weathercock blue before the war"
+    short = ["Herring was sold twice.", "Canvas cost four marks.", "Her brother went south.", "The shed froze in May."]
+    index = leak.Index([(1, " ".join([long + ".", *short, "An unrelated further sentence about the pilots of the estuary follows here, much longer than the others."]))])
+    assert _held(index, ["Page. " + long + ". Something else. " + " Something else. ".join(short)]) == {(0, 1)}
