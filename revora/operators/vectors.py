@@ -18,8 +18,8 @@ from .graph import components
 
 #: Query vectors that a pass over all rows takes at once, and the bound on the number of clusters.
 BLOCK, MOST_CLUSTERS = 2000, 5000
-#: Bound of the points that density-based clustering takes in one task, as it needs all their distances.
-MOST_POINTS = 20_000
+#: Distances that density-based clustering holds at once.
+MOST_GAPS = 4_000_000
 
 
 def unit(v: Column) -> Column:
@@ -175,23 +175,32 @@ def canonical(found: DataFrame, label: str = "label") -> DataFrame:
 
 
 def density_clusters(points: np.ndarray, least: int) -> np.ndarray:
-    """Density-based clusters of a bounded set of points: mutual reachability, minimum spanning tree, condensed tree, excess of mass; -1 is noise."""
+    """Density-based clusters of a set of points: mutual reachability, minimum spanning tree, condensed tree, excess of mass; -1 is noise.
+
+    Distances are made anew in blocks of rows, so memory grows with the points
+    and only time with their square.
+    """
     n = len(points)
     if n < max(2, least):
         return np.full(n, -1)
-    gaps = np.sqrt(np.maximum(0, (points**2).sum(1)[:, None] + (points**2).sum(1)[None, :] - 2 * points @ points.T))
-    core = np.sort(gaps, axis=1)[:, min(least, n) - 1]
-    reach = np.maximum(gaps, np.maximum(core[:, None], core[None, :]))
+    square = (points**2).sum(1)
+
+    def gaps(a: int, b: int) -> np.ndarray:
+        return np.sqrt(np.maximum(0, square[a:b, None] + square[None, :] - 2 * points[a:b] @ points.T))
+
+    k, step = min(least, n) - 1, max(1, MOST_GAPS // n)
+    core = np.concatenate([np.partition(gaps(a, a + step), k, axis=1)[:, k].copy() for a in range(0, n, step)])
     inside, best, via, edges = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int), []
     at = 0
     for _ in range(n - 1):
         inside[at] = True
-        closer = ~inside & (reach[at] < best)
-        best[closer], via[closer] = reach[at][closer], at
+        reach = np.maximum(gaps(at, at + 1)[0], np.maximum(core[at], core))
+        closer = ~inside & (reach < best)
+        best[closer], via[closer] = reach[closer], at
         at = int(np.where(inside, np.inf, best).argmin())
         edges.append((best[at], via[at], at))
     # the merge tree
-    parent, member = {i: i for i in range(n)}, {i: [i] for i in range(n)}
+    parent, size = {i: i for i in range(n)}, {i: 1 for i in range(n)}
     children, height = {}, {}
 
     def top(i: int) -> int:
@@ -204,7 +213,7 @@ def density_clusters(points: np.ndarray, least: int) -> np.ndarray:
     for d, a, b in sorted(edges):
         ra, rb = top(a), top(b)
         parent[nxt] = parent[ra] = parent[rb] = nxt
-        member[nxt], children[nxt], height[nxt] = member[ra] + member[rb], (ra, rb), d
+        size[nxt], children[nxt], height[nxt] = size[ra] + size[rb], (ra, rb), d
         nxt += 1
     root = nxt - 1
     # walk down: a split is real if both sides hold enough points
@@ -217,49 +226,51 @@ def density_clusters(points: np.ndarray, least: int) -> np.ndarray:
                 break
             lam = 1 / max(height[cur], 1e-12)
             x, y = children[cur]
-            big = [c for c in (x, y) if len(member[c]) >= least]
+            big = [c for c in (x, y) if size[c] >= least]
             if len(big) == 2:
-                mass += (lam - born) * len(member[cur])
+                mass += (lam - born) * size[cur]
                 splits[node] = (x, y)
                 stack += [(x, lam), (y, lam)]
                 break
-            mass += (lam - born) * sum(len(member[c]) for c in (x, y) if c not in big)
+            mass += (lam - born) * sum(size[c] for c in (x, y) if c not in big)
             if not big:
                 break
             cur = big[0]
         strength[node] = mass
+    # from the smallest nodes up, whose numbers are smaller: a node or what is best below it
+    worth: dict[int, float] = {}
     chosen: set[int] = set()
-
-    def pick(node: int) -> float:
-        if node not in splits or node == root:
-            below = sum(pick(c) for c in splits.get(node, ()))
-            if node == root:
-                return below
+    for node in sorted(strength):
+        below = sum(worth[c] for c in splits.get(node, ()))
+        if node != root and (node not in splits or strength[node] >= below):
+            worth[node] = strength[node]
             chosen.add(node)
-            return strength[node]
-        below = sum(pick(c) for c in splits[node])
-        if strength[node] >= below:
-            chosen.difference_update(_under(splits, node))
-            chosen.add(node)
-            return strength[node]
-        return below
+        else:
+            worth[node] = below
+    top_chosen, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node in chosen:
+            top_chosen.append(node)
+        else:
+            stack += splits.get(node, ())
+
+    def members(node: int) -> list[int]:
+        out, stack = [], [node]
+        while stack:
+            c = stack.pop()
+            if c < n:
+                out.append(c)
+            else:
+                stack += children[c]
+        return out
 
-    pick(root)
     labels = np.full(n, -1)
-    for i, c in enumerate(sorted(chosen or {root}, key=lambda c: min(member[c]))):
-        labels[member[c]] = i
+    for i, own in enumerate(sorted((members(c) for c in top_chosen or [root]), key=min)):
+        labels[own] = i
     return labels
 
 
-def _under(splits: dict, node: int) -> set[int]:
-    out, stack = set(), list(splits.get(node, ()))
-    while stack:
-        c = stack.pop()
-        out.add(c)
-        stack += splits.get(c, ())
-    return out
-
-
 def group_scaled(features: DataFrame, groups: dict[str, tuple[list[str], float]], key: str, share: float = 0.75) -> DataFrame:
     """(key, u): features with nulls at the median, standardised by the population's spread, each group scaled to its weight's share of ``share``.
 

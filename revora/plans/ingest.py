@@ -139,14 +139,12 @@ def absorb_noise(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hdbscan_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """Density-based clusters within each label; a label's vectors are bounded by MOST_POINTS in one task."""
+    """Density-based clusters within each label, of any size; a label is one task, whose time grows with the square of its vectors."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        if len(pdf) > vectors.MOST_POINTS:
-            raise ValueError(f"a label has more than {vectors.MOST_POINTS} vectors")
         pdf = pdf.sort_values("vec_id")
         least = max(2, min(12, round(0.7 * len(pdf) ** 0.5)))
         return pd.DataFrame({"vec_id": pdf["vec_id"], "label": pdf["label"], "cluster": vectors.density_clusters(np.stack(pdf["u"].to_numpy()), least)})

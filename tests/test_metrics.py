@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +154,28 @@ def test_density_clusters():
     assert (vectors.density_clusters(points[:1], 5) == -1).all()
 
 
+def test_density_clusters_hold_no_square_of_points(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(vectors, "MOST_GAPS", 100_000, raising=False)
+    points = np.random.default_rng(4).normal(size=(2000, 4))
+    tracemalloc.start()
+    vectors.density_clusters(points, 12)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2000 * 2000 * 8 / 2
+
+
+def test_density_clusters_of_a_large_label(spark, tmp_path):
+    from revora.plans.ingest import hdbscan_labels
+
+    rng = np.random.default_rng(6)
+    far = np.repeat(np.eye(4)[:2], 10_001, axis=0) + rng.normal(0, 0.01, (20_002, 4))
+    pd.DataFrame({"vec_id": np.arange(20_002), "embedding": list(far), "label": np.int32(1)}).to_parquet(tmp_path / "embeddings.parquet")
+    got = {r["vec_id"]: r["cluster"] for r in hdbscan_labels(spark, str(tmp_path)).collect()}
+    assert len(got) == 20_002 and not {got[i] for i in range(10_001)} - {-1} & {got[i] for i in range(10_001, 20_002)} - {-1}
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(2)
     m = rng.normal(size=(60, 8))
