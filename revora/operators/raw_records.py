@@ -149,7 +149,7 @@ def judge(raw: str | None, columns: tuple[str, ...] = EXPORT_COLUMNS) -> tuple[s
         return ("quoting" if qi + qd else "column_count"), detail, None
     cells = dict(zip(columns, fields))
     if cells["error"].strip() or cells["error_code"].strip():
-        return "error", (cells["error"].strip() or cells["error_code"].strip())[:200], None
+        return "error", cells["error"].strip() or cells["error_code"].strip(), None
     bad = _bad_value(cells)
     return ("value", bad, None) if bad else (None, None, fields)
 

@@ -94,3 +94,9 @@ def test_splitting_round_trip():
     for cells in itertools.product(["", "a", 'q"q', "t\tt", "n\nn"], repeat=3):
         raw = "\t".join('"' + c.replace('"', '""') + '"' if set(c) & set('"\t\n') else c for c in cells)
         assert rr.split_exact(raw) == list(cells)
+
+
+def test_reason_of_a_failed_scrape_is_whole():
+    for column in ("error", "error_code"):
+        why = "timed out; " * 60 + "end"
+        assert rr.judge(record(**{column: why}))[:2] == ("error", why)
