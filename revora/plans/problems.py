@@ -29,7 +29,7 @@ def p1_loaded(spark: SparkSession, folder: str) -> DataFrame:
 
 def _definitions(spark: SparkSession, folder: str, tab: str) -> tuple[dict[str, str], dict[str, str]]:
     """(name key -> attribute, attribute -> value type) of one table; metric_def is a fixed table of a few rows."""
-    rows = table(spark, folder, "metric_def").filter(F.col("held_in") == tab).limit(10_000).collect()
+    rows = table(spark, folder, "metric_def").filter(F.col("held_in") == tab).collect()
     keys = wide_table.attribute_keys([(r["attr"], r["label_ja"], r["label_en"]) for r in rows])
     return keys, {r["attr"]: r["value_type"] for r in sorted(rows, key=lambda r: r["attr"])}
 

@@ -53,3 +53,12 @@ def test_empty(spark):
     df = spark.createDataFrame([], "e long, a string, v string, id long, batch string, entity_id string")
     wide = w.compact(w.delta(df, "e", "a", "v", "id", TYPES), TYPES)
     assert wide.count() == 0 and set(TYPES) < set(wide.columns)
+
+
+def test_more_definitions_than_ten_thousand(spark, tmp_path):
+    from revora.plans import problems
+
+    n = 10_050
+    spark.range(n).selectExpr("concat('a', id) as attr", "concat('b', id) as label_ja", "concat('c', id) as label_en", "'score' as held_in", "'text' as value_type").coalesce(1).write.parquet(str(tmp_path / "metric_def.parquet"))
+    keys, types = problems._definitions(spark, str(tmp_path), "score")
+    assert len(types) == n and set(keys.values()) == set(types)
