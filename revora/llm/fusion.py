@@ -13,8 +13,9 @@ What moves between tasks are distinct claims: rows of one group that agree in
 source and value are one before any shuffle of groups.  Accuracies and
 dependences are tables of sources, bounded by MOST_SOURCES.
 
-Defined results: blank texts and null values are no claims; a field without
-claims has no row; ties go to the value held by the smallest id.
+Defined results: blank texts and null values are no claims; rows without
+``fetched_at`` are one source, 'unknown'; dependences below NOTED don't discount
+votes; a field without claims has no row; ties go to the value held by the smallest id.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def claims(rows: DataFrame) -> DataFrame:
     """(first_id, field, source, value, id): the distinct claims, values hashed, of every group of two or more copies."""
     # values move as hashes of fixed length
     cells = F.array(*(F.struct(F.lit(f).alias("field"), F.unhex(F.md5(v)).alias("value")) for f, v in _values().items()))
-    keyed = rows.select("id", *(c.alias(k) for k, c in keys().items()), F.date_format("fetched_at", "yyyy-MM").alias("source"), cells.alias("cells"))
+    keyed = rows.select("id", *(c.alias(k) for k, c in keys().items()), F.coalesce(F.date_format("fetched_at", "yyyy-MM"), F.lit("unknown")).alias("source"), cells.alias("cells"))
     part = F.coalesce(F.concat(F.lit("v"), F.col("vendor_key")), F.concat(F.lit("c"), F.col("content_key")))
     keyed = keyed.withColumn("part", part).filter("part is not null")
     own = materialize(keyed.groupBy("part").agg(F.min("id").alias("part_id"), F.count(F.lit(1)).alias("n")), "fusion-parts")
@@ -65,7 +66,7 @@ def claims(rows: DataFrame) -> DataFrame:
     # only rows of groups go on; a group that holds much of all rows is spread
     heavy = [r[0] for r in groups.filter(F.col("n") > HEAVY * rows.count()).select("part").collect()]  # at most 1 / HEAVY
     held = skew_join(keyed.select("part", "source", "id", "cells"), groups.select("part", "first_id"), "part", "id", heavy)
-    found = held.select("first_id", "source", "id", F.explode("cells").alias("c")).filter("c.value is not null and source is not null")
+    found = held.select("first_id", "source", "id", F.explode("cells").alias("c")).filter("c.value is not null")
     # a crawl may be careful with one field and careless with another
     return found.groupBy("first_id", F.col("c.field").alias("field"), F.concat_ws("@", "c.field", "source").alias("source"), F.col("c.value").alias("value")).agg(F.min("id").alias("id"))
 

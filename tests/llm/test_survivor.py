@@ -90,3 +90,10 @@ def test_fusion_prefers_accurate_sources(spark):
             rows.append((k, 1, f"V{g}", "x", "2024-01-01", (f"false {g}" if shared else f"false {g} {month}") if wrong else f"true {g}", None, 1, dt.datetime(2024, month, 2), ""))
     got = {r["first_id"]: r["value"] for r in fusion.fused(spark.createDataFrame(rows, SCHEMA)).filter("field = 'text'").collect()}
     assert len(got) == 120 and all(v.startswith("true") for v in got.values())
+
+
+def test_fusion_takes_rows_without_time_of_fetching(spark):
+    day = dt.datetime(2024, 1, 2)
+    rows = [(i, 1, "V1", "x", "2024-01-01", "told", None, 1, None, "") for i in (1, 2)] + [(i, 1, "V2", "x", "2024-01-02", "known", None, 1, at, "") for i, at in ((3, None), (4, day))]
+    got = {(r["first_id"], r["value"]) for r in fusion.fused(spark.createDataFrame(rows, SCHEMA)).filter("field = 'text'").collect()}
+    assert got == {(1, "told"), (3, "known")}
