@@ -36,7 +36,6 @@ SMOOTHING = 0.02
 LOSSY_MARGIN, GAIN = 6.0, 0.4
 #: The same where both encodings are single-byte, so that undoing can't fail and proves nothing.
 FREE_MARGIN, FREE_GAIN = 12.0, 1.0
-TRIED = 6
 
 _SINGLE = [
     ("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp932"), ("utf-8", "euc-jp"), ("utf-8", "mac-roman"), ("utf-8", "cp437"),
@@ -177,7 +176,7 @@ class Model:
     def judge(self, piece: str, scores: np.ndarray, n: int) -> tuple[tuple, str, bool] | None:
         """(chain, restored text, strictly) of a damaged sentence, else None."""
         rate, margin = float(scores[0]) / max(n, 1), scores[1:] - scores[0]
-        order = np.argsort(-margin)[:TRIED]
+        order = np.argsort(-margin)
         undone: list[tuple[float, int, str]] = []
         for k in order:
             if margin[k] <= 0:

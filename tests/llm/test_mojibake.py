@@ -65,3 +65,18 @@ def test_odd_inputs(spark, model):
     df = spark.createDataFrame(rows, "id long, text string, restored string")
     assert [(r["id"], r["restorable"]) for r in m.damaged(df, model, {"id": "bigint"}).collect()] == [(3, True)] * 2
     assert m.damaged(df.limit(0), model, {"id": "bigint"}).count() == 0
+
+
+def test_every_chain_with_a_positive_margin_is_tried():
+    import numpy as np
+
+    from revora.llm import mojibake as mj
+
+    want = "庭の石は夜明けに濡れていた。"
+    right = next(k for k, c in enumerate(mj.CHAINS) if len(c) == 1 and c[0][0] == "utf-8" and (g := mj.garble(want, c)) and mj.undo(g, c) == want)
+    piece = mj.garble(want, mj.CHAINS[right])
+    model = mj.Model(np.zeros((len(mj.CHAINS) + 1, 1)))
+    model.clean_rate = lambda text: 0.0 if text == want else -9.0
+    scores = np.array([-50.0, *(-40.0 + k / 100 for k in range(len(mj.CHAINS)))])
+    scores[right + 1] = -49.0  # the last of all chains
+    assert model.judge(piece, scores, 10) == (mj.CHAINS[right], want, True)
