@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import materialize
+from ..runtime import discard, materialize
 
 MAX_ROUNDS = 50
 
@@ -41,7 +41,8 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     now = materialize(now.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "cc")
     state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     for _ in range(MAX_ROUNDS):
-        now = materialize(_star(_star(now, True), False), "cc")
+        before, now = now, materialize(_star(_star(now, True), False), "cc")
+        discard(before)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == state:
             break

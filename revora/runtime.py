@@ -41,12 +41,16 @@ def session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
-    Reads ``spark.checkpoint.dir`` from the session; only where it is unset a
-    temporary folder is made (single-machine use).
+    Reads ``spark.checkpoint.dir`` from the session; only where it is unset and
+    the session runs on this one machine a temporary folder is made.  On a
+    cluster every executor would write to a disk of its own, so there the
+    setting is required.
     """
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="revora-"))
         atexit.register(_remove_local, _OWN_DIR[0][len("file://") :])
@@ -91,19 +95,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     if not _WRITTEN:
         atexit.register(release)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._revora_path = path
+    return table
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may be gone
+        pass
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of :func:`materialize` that no later stage reads, such as those of a finished round."""
+    for t in tables:
+        path = getattr(t, "_revora_path", None)
+        if path:
+            _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
+            _remove(t.sparkSession, path)
 
 
 def release() -> None:
     """Remove the tables written by :func:`materialize` so far."""
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may be gone
-            pass
+        _remove(*_WRITTEN.pop())
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
