@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import spread
 from ..sources.tables import table
-from . import fusion, leak, mojibake, names, stuffing, survivor, tokenize
+from . import fusion, leak, mojibake, names, stuffing, tokenize
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,14 +35,19 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_restored(spark, folder).select("tab", "rec_id")
 
 
+def _copies(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "review").select("id", "facility_id", "review_id", "reviewer_name", "review_date", "text", "owner_response", "likes", "fetched_at")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "review").select("id", "facility_id", "review_id", "reviewer_name", "review_date", "text", "owner_response", "likes", "fetched_at")
-    return survivor.kept(survivor.survivors(rows))
+    """Fusion whose prior for the stated preferences exceeds every sum of votes."""
+    return fusion.fused(_copies(spark, folder), trust=fusion.STATED).select("first_id", "field", "keep_id")
 
 
 def p7_fused(spark: SparkSession, folder: str) -> DataFrame:
-    """The most probable value of each field, by Bayesian fusion of the crawls."""
-    return fusion.fused(table(spark, folder, "review").select("id", "facility_id", "review_id", "reviewer_name", "review_date", "text", "owner_response", "likes", "fetched_at"))
+    """The most probable value of each field, where votes may outweigh the preferences."""
+    rows = _copies(spark, folder)
+    return fusion.with_values(fusion.fused(rows), rows)
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,46 +1,36 @@
-"""Best representative of each duplicate group, field by field.
+"""Which rows are copies of one review: keys of the vendor's id and of the content.
 
-Grouping.  Rows with a vendor's id are copies by (facility, id); rows without
-one are copies by (facility, reviewer, day, text) and join every vendor group
-that holds a row of the same content.  Rows are aggregated to these partial
-groups first and only the partial groups are linked, so a group of copies that
-holds a third of all rows crosses the shuffle as one row per task.
-
-Choosing.  Each field keeps the candidate with the greatest preference, a
-tuple compared from left to right; maxima of tuples merge, so partial groups
-merge too.
+Rows with a vendor's id are copies by (facility, id); rows without one are
+copies by (facility, reviewer, day, text) and join every vendor group that holds
+a row of the same content.
 
 Defined results: null or blank names, days, facilities or texts never link a
-row that has no vendor id; a substitute id starts with ``h:``; a field for
-which no copy qualifies gives no row; the last tie goes to the smallest id.
-Repeated rows with one id count as copies of each other.
+row that has no vendor id; a substitute id starts with ``h:``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from ..operators.graph import components
-from ..runtime import materialize
+from pyspark.sql import Column, functions as F
 
-FIELDS = ("review_id", "text", "owner_response", "likes")
 #: White space as Python's strip() removes it.
-_SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, "^" + _SPACE, ""), _SPACE + "$", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def written_day(date: Column) -> Column:
     """The day of a date as it is written, 'YYYY-MM-DD', or null."""
-    day = F.regexp_extract(date, r"^\s*([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})(?![0-9])", 1)
-    parts = [F.regexp_extract(date, r"^\s*([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})(?![0-9])", i) for i in (1, 2, 3)]
-    return F.when(day != "", F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0")))
+    form = r"^\s*([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})(?![0-9]).*"
+    day = F.regexp_replace(F.trim(date), r"(?s)" + form, "$1-0$2-0$3")
+    short = F.regexp_replace(day, r"-0?([0-9]{2})", "-$1")
+    return F.when(date.rlike(form[:-2]), short)
 
 
 def is_vendor_id(review_id: Column) -> Column:
-    return review_id.isNotNull() & (stripped(review_id) != "") & ~stripped(review_id).startswith("h:")
+    own = stripped(review_id)
+    return review_id.isNotNull() & (own != "") & ~own.startswith("h:")
 
 
 def keys() -> dict[str, Column]:
@@ -51,45 +41,3 @@ def keys() -> dict[str, Column]:
         "vendor_key": F.when(real & F.col("facility_id").isNotNull(), F.md5(F.concat_ws("\x1f", F.col("facility_id").cast("string"), stripped(F.col("review_id"))))),
         "content_key": F.when(linked, F.md5(F.concat_ws("\x1f", F.col("facility_id").cast("string"), name, day, F.col("text")))),
     }
-
-
-def candidates(rows: DataFrame) -> DataFrame:
-    """Per row: its vendor key, its content key, and per field a (preference..., -id) tuple where it qualifies."""
-    text, fetched, last = stripped(F.col("text")), F.unix_micros(F.col("fetched_at").cast("timestamp")), -F.col("id")
-    prefer = {
-        "review_id": F.when(is_vendor_id(F.col("review_id")), F.struct(F.lit(0).alias("a"), fetched.alias("b"), last.alias("c"))),
-        "text": F.when(text != "", F.struct(F.length(text).alias("a"), fetched.alias("b"), last.alias("c"))),
-        "owner_response": F.when(stripped(F.col("owner_response")) != "", F.struct(F.lit(0).alias("a"), fetched.alias("b"), last.alias("c"))),
-        "likes": F.when(F.col("likes").isNotNull(), F.struct(F.lit(0).alias("a"), fetched.alias("b"), last.alias("c"))),
-    }
-    return rows.select("id", *(c.alias(k) for k, c in keys().items()), *(c.alias(f) for f, c in prefer.items()))
-
-
-def _partial(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.min("id").alias("part"), F.count(F.lit(1)).alias("n"), *(F.max(f).alias(f) for f in FIELDS))
-
-
-def survivors(rows: DataFrame) -> DataFrame:
-    """(first_id, n, one tuple per field) of every group of two or more copies."""
-    found = candidates(rows)
-    with_id, without = found.filter("vendor_key is not null"), found.filter("vendor_key is null")
-    by_vendor = materialize(_partial(with_id, "vendor_key"), "vendor-parts")
-    by_content = materialize(_partial(without.filter("content_key is not null"), "content_key"), "content-parts")
-    touching = with_id.filter("content_key is not null").select("vendor_key", "content_key").distinct()
-    links = (
-        touching.join(by_content.select("content_key", F.col("part").alias("y")), "content_key")
-        .join(by_vendor.select("vendor_key", F.col("part").alias("x")), "vendor_key")
-        .select("x", "y")
-    )
-    roots = components(links, "x", "y")
-    parts = by_vendor.drop("vendor_key").union(by_content.drop("content_key"))
-    # parts without a link are groups already; linked ones, few, merge under their root
-    joined = parts.join(roots.withColumnRenamed("node", "part"), "part", "left").withColumn("first_id", F.coalesce("root", "part"))
-    merged = joined.groupBy("first_id").agg(F.sum("n").alias("n"), *(F.max(f).alias(f) for f in FIELDS))
-    return merged.filter("n >= 2")
-
-
-def kept(groups: DataFrame) -> DataFrame:
-    """(first_id, field, keep_id) of every field some copy can supply."""
-    pairs = F.array(*(F.struct(F.lit(f).alias("field"), (-F.col(f)["c"]).alias("keep_id")) for f in FIELDS))
-    return groups.select("first_id", F.explode(pairs).alias("p")).select("first_id", "p.field", "p.keep_id").filter("keep_id is not null")
