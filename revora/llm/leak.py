@@ -3,19 +3,22 @@
 Every window of a document, of the size of a piece of an item, is embedded by
 CGK random walks (Chakraborty, Goldenberg and Koucky, 2016): a walk over the
 window that advances or stays by random bits of step and character, so that a
-small edit distance becomes a small Hamming distance.  Several walks with
-sampled positions give LSH keys; windows of items, one at every character, are
+small edit distance becomes a small Hamming distance.  Repeated samples of a
+walk's positions give LSH keys; windows of items, one at every character, are
 kept under the same keys.  A document's windows start every few characters, so
-each copied stretch is met at the offset it has.  A hit names a sentence of an
-item and where it should stand; exact edit distance then verifies it there.
-From a hit outside verified sentences a stretch is followed to both sides for as
-long as matches outweigh edits, so a passage may begin and end inside sentences.
-
-A document holds an item if verified sentences and stretches make up COVERAGE of
-its text.  A verified sentence may differ by up to EDITS of its length, which
-admits edited words and characters but not the same pattern with other contents;
-a stretch has at least STRETCH windows and fewer edits.  Sentences shorter
-than a window count where they stand unchanged in a document that has other hits.
+each copied stretch is met at the offset it has.  A hit names a place of an item
+and of the document.  From there a stretch is followed to both sides for as long
+as matches outweigh edits, so a passage may begin and end inside sentences;
+stretches with a small gap between them, such as an edited word, are one.  A
+sentence with a hit that stretches don't cover is held if its exact edit
+distance to the text about its place is small.
+
+A document holds an item if stretches and sentences make up COVERAGE of its
+text: two fifths, less what edits take from the characters that are counted.  A
+sentence may differ by up to EDITS of its length, which admits edited words and
+characters but not the same pattern with other contents; a stretch has at least
+STRETCH windows and fewer edits.  Sentences shorter than a window count where
+they stand unchanged in a document that has other hits.
 
 Defined results: texts are compared apart from case, width, white space,
 punctuation, markup and invisible characters; null, empty and blank texts and
@@ -27,7 +30,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import defaultdict
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,16 +40,19 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Window length and stride of documents' windows, for windows that begin with a written (CJK) and with another character.
 WINDOW, STRIDE = {True: 15, False: 32}, {True: 3, False: 6}
-#: Walks (hash tables), sampled positions of each walk, and the seed of their random bits.
-TABLES, SAMPLED, SEED = 4, 9, 2016
+#: Walks, LSH tables drawn from each walk, sampled positions of each table, and the seed of their random bits.
+WALKS, DRAWS, SAMPLED, SEED = 2, 3, 10, 2016
+TABLES = WALKS * DRAWS
 #: Largest edit distance of a verified sentence, as a share of its length; share of an item that must be verified.
-EDITS, COVERAGE = 0.22, 0.40
+EDITS, COVERAGE = 0.22, 0.38
 #: Least length of a stretch, as a multiple of a window, and its largest share of edits; weight of an edit against a match, and the loss at which following ends.
-STRETCH, STRETCH_EDITS, EDIT_WEIGHT, DROP = 1.5, 0.10, 3, 8
+STRETCH, STRETCH_EDITS, EDIT_WEIGHT, DROP = 1.5, 0.16, 3, 8
+#: Largest gap, in either text, between stretches that are one, such as an edited word.
+GAP = 16
 #: Least length of a short sentence that counts unchanged, for written (CJK) and for other characters.
 SHORT = {True: 7, False: 16}
-#: Items whose windows are broadcast at once; more items take several passes over the documents.
-BLOCK_ITEMS = 2000
+#: Characters of items whose windows are broadcast at once, about 100 bytes for each; more items take several passes over the documents.
+BLOCK_CHARS = 500_000
 #: Windows embedded at once.
 CHUNK = 400_000
 
@@ -77,29 +84,34 @@ def is_written(text: str) -> np.ndarray:
 
 
 class Walks:
-    """CGK walks with sampled positions."""
+    """CGK walks, and tables of positions sampled from them."""
 
     def __init__(self) -> None:
         random = np.random.default_rng(SEED)
         self.bits, self.taken = {}, {}
         for kind, width in WINDOW.items():
             steps = 2 * width - 2  # a walk advances every other step
-            self.bits[kind] = random.integers(0, 2, size=(TABLES, steps, 256), dtype=np.int32)
-            self.taken[kind] = [np.sort(random.choice(np.arange(steps), SAMPLED, replace=False)) for _ in range(TABLES)]
-            for taken in self.taken[kind]:
-                taken[-1] = steps - 1  # the whole window is walked
+            self.bits[kind] = random.integers(0, 2, size=(WALKS, steps, 256), dtype=np.int32)
+            taken = np.stack([np.sort(random.choice(steps - 1, SAMPLED, replace=False)) for _ in range(TABLES)])
+            # the last of them lies near the end, so that the whole window is walked
+            taken[:, -1] = random.integers(steps - max(2, steps // 8), steps, TABLES)
+            self.taken[kind] = taken.reshape(WALKS, DRAWS, SAMPLED)
 
     def keys(self, flat: np.ndarray, starts: np.ndarray, kind: bool) -> np.ndarray:
-        """(tables x windows) LSH keys of the windows at ``starts``; ``flat`` must reach one window beyond the last."""
+        """(tables x windows) LSH keys of the windows at ``starts``; ``flat`` must reach two windows beyond the last."""
         out = np.empty((TABLES, len(starts)), dtype=np.uint64)
-        for t in range(TABLES):
-            at, key, taken = starts.copy(), np.full(len(starts), t + 1, dtype=np.uint64), set(self.taken[kind][t].tolist())
-            for j, bits in enumerate(self.bits[kind][t]):
-                seen = flat[at]
-                if j in taken:
-                    key = key * np.uint64(1099511628211) + seen
-                at += bits[seen]
-            out[t] = key * np.uint64(0x9E3779B97F4A7C15)
+        for w in range(WALKS):
+            at = starts.astype(np.int64)
+            keys = out[w * DRAWS : (w + 1) * DRAWS]
+            keys[:] = np.arange(w * DRAWS + 1, (w + 1) * DRAWS + 1, dtype=np.uint64)[:, None]
+            taken = self.taken[kind][w]
+            for j in range(int(taken.max()) + 1):
+                seen = flat.take(at)
+                for d in np.flatnonzero((taken == j).any(axis=1)):
+                    keys[d] *= np.uint64(1099511628211)
+                    keys[d] += seen
+                at += self.bits[kind][w, j].take(seen)
+            keys *= np.uint64(0x9E3779B97F4A7C15)
         return out
 
 
@@ -127,28 +139,40 @@ def edit_distance_within(pattern: str, text: str) -> int:
     return best
 
 
-def follow(a: str, i: int, b: str, j: int, step: int) -> tuple[int, int]:
-    """(places of ``a``, edits) for which ``a`` from i and ``b`` from j agree, forwards or backwards, up to the best score."""
-    first, score, best, edits, kept = i, 0, 0, 0, (0, 0)
-    while 0 <= i < len(a) and 0 <= j < len(b):
-        if a[i] == b[j]:
-            score, i, j = score + 1, i + step, j + step
+def follow(a: str, i: int, b: str, j: int, step: int) -> tuple[int, int, int]:
+    """(places of ``a``, edits, places of ``b``) for which ``a`` from i and ``b`` from j agree, forwards or backwards, up to the best score."""
+    first, other, score, best, edits, kept = i, j, 0, 0, 0, (0, 0, 0)
+    while True:
+        run = _agree(a, i, b, j, step, 1 << 30)
+        if run:
+            score, i, j = score + run, i + step * run, j + step * run
             if score > best:
-                best, kept = score, (abs(i - first), edits)
-            continue
+                best, kept = score, (abs(i - first), edits, abs(j - other))
         score, edits = score - EDIT_WEIGHT, edits + 1
-        if best - score > DROP:
-            break
+        if best - score > DROP or not (0 <= i < len(a) and 0 <= j < len(b)):
+            return kept
+        # the edit after which most characters agree: another character, or one more in either text
+        ways = [(_agree(a, i + step * dx, b, j + step * dy, step, 8), dx, dy) for dx, dy in ((1, 1), (1, 0), (0, 1))]
+        _, dx, dy = max(ways)
+        i, j = i + step * dx, j + step * dy
 
-        def agree(x: int, y: int) -> int:
-            n = 0
-            while n < 8 and 0 <= x + n * step < len(a) and 0 <= y + n * step < len(b) and a[x + n * step] == b[y + n * step]:
-                n += 1
-            return n
 
-        _, dx, dy = max((agree(i + step * dx, j + step * dy), dx, dy) for dx, dy in ((1, 1), (1, 0), (0, 1)))
-        i, j = i + step * dx, j + step * dy
-    return kept
+def _agree(a: str, i: int, b: str, j: int, step: int, most: int) -> int:
+    """For how many characters, at most ``most``, two texts agree from two places on."""
+    n = 0
+    if step > 0:
+        while n + 16 <= most and (x := a[i + n : i + n + 16]) == b[j + n : j + n + 16] and len(x) == 16:
+            n += 16
+        most = min(most, len(a) - i, len(b) - j)
+        while n < most and a[i + n] == b[j + n]:
+            n += 1
+    else:
+        most = min(most, i + 1, j + 1)
+        while n + 16 <= most and a[i - n - 15 : i - n + 1] == b[j - n - 15 : j - n + 1]:
+            n += 16
+        while n < most and a[i - n] == b[j - n]:
+            n += 1
+    return n
 
 
 class Index:
@@ -161,6 +185,7 @@ class Index:
         self.whole: list[str] = []  # normal text of the items
         self.begin: list[int] = []  # of the sentences in it
         self.short: list[list[int]] = []  # sentences of the items that no window fits in
+        self.first: list[int] = []  # sentence of each item
         walks = Walks()
         keys, owners, offsets = [], [], []
         for item_id, text in items:
@@ -176,8 +201,8 @@ class Index:
             flat = np.concatenate([codes(whole), np.zeros(2 * max(WINDOW.values()), np.uint8)])
             written = is_written(whole)
             border = np.cumsum([0, *map(len, parts)])
-            owner = np.searchsorted(border, np.arange(len(whole)), side="right") - 1
             first = len(self.sentences)
+            self.first.append(first)
             self.sentences += [(item, p) for p in parts]
             self.begin += border[:-1].tolist()
             kinds = [bool(is_written(p).mean() > 0.5) for p in parts]
@@ -187,14 +212,16 @@ class Index:
                 starts = starts[starts <= max(0, len(whole) - WINDOW[kind])].astype(np.int32)
                 if len(starts):
                     keys.append(walks.keys(flat, starts, kind).ravel())
-                    owners.append(np.tile(first + owner[starts], TABLES))
-                    offsets.append(np.tile(starts - border[owner[starts]], TABLES))
+                    owners.append(np.full(TABLES * len(starts), item))
+                    offsets.append(np.tile(starts, TABLES))
+        self.first.append(len(self.sentences))
+        self.letters = [sorted(Counter(p).items()) for _, p in self.sentences]
         if keys:
             key, owner, offset = np.concatenate(keys), np.concatenate(owners), np.concatenate(offsets)
         else:
             key, owner, offset = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         order = np.argsort(key, kind="stable")
-        self.key, self.owner, self.offset = key[order], owner[order].astype(np.int32), offset[order].astype(np.int32)
+        self.key, self.item, self.offset = key[order], owner[order].astype(np.int32), offset[order].astype(np.int32)
         self.present = np.zeros(1 << 22, dtype=bool)  # a filter before the exact search
         self.present[(self.key >> np.uint64(42)).astype(np.int64)] = True
 
@@ -221,8 +248,7 @@ class Index:
         flat, written = np.concatenate([codes(whole), pad]), is_written(whole)
         place = np.arange(len(whole), dtype=np.int32)
         within = place - np.repeat(begins, ends - begins).astype(np.int32)
-        hits: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        seeds: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
+        seeds: dict[int, set[tuple[int, int, int]]] = defaultdict(set)  # (item, place in it, place in the text)
         for kind in (True, False):
             starts = place[(written == kind) & (within % STRIDE[kind] == 0)]
             for c in range(0, len(starts), CHUNK):
@@ -233,52 +259,89 @@ class Index:
                         continue
                     low = np.searchsorted(self.key, key[maybe], side="left")
                     high = np.searchsorted(self.key, key[maybe], side="right")
-                    for s, a, b in zip(part[maybe].tolist(), low.tolist(), high.tolist()):
-                        if b > a:
-                            doc = int(np.searchsorted(ends, s, side="right"))
-                            for w in range(a, b):  # windows of items under one key
-                                # the sentence should begin about here; nearby starts are one candidate
-                                sentence, offset, at = int(self.owner[w]), int(self.offset[w]), s - int(begins[doc])
-                                hits[doc].add((sentence, (at - offset) // 8))
-                                seeds[doc].add((at, self.begin[sentence] + offset, self.sentences[sentence][0]))
-        for doc, found in hits.items():
+                    hit = np.flatnonzero(high > low)
+                    place_of = part[maybe][hit]
+                    docs = np.searchsorted(ends, place_of, side="right")
+                    for s, doc, a, b in zip((place_of - begins[docs]).tolist(), docs.tolist(), low[hit].tolist(), high[hit].tolist()):
+                        seeds[doc].update(zip(self.item[a:b].tolist(), self.offset[a:b].tolist(), [s] * (b - a)))  # windows of items under one key
+        for doc, found in seeds.items():
             text = normals[group[doc]]
-            good: dict[int, np.ndarray] = {item: np.zeros(self.length[item], dtype=bool) for item in {self.sentences[x][0] for x, _ in found}}
-            by_sentence: dict[int, set[int]] = defaultdict(set)
-            for sentence, at in found:
-                by_sentence[sentence].add(at)
-            for sentence, spots in by_sentence.items():
-                item, pattern = self.sentences[sentence]
-                allowed = int(EDITS * len(pattern))
-                last = None
-                for at in sorted(spots):
-                    if last is not None and at - last <= 1:
-                        last = at
-                        continue  # looked at with the one before, by the slack
-                    last = at
-                    start = at * 8
-                    if edit_distance_within(pattern, text[max(0, start - allowed - 8) : start + len(pattern) + allowed + 24]) <= allowed:
-                        good[item][self.begin[sentence] : self.begin[sentence] + len(pattern)] = True
-                        break
-            for at, p, item in sorted(seeds[doc]):
-                if not good[item][p : p + 8].all():
-                    self._stretch(text, at, p, item, good[item])
-            for item, held in good.items():
-                for sentence in self.short[item]:
-                    a, pattern = self.begin[sentence], self.sentences[sentence][1]
-                    if not held[a : a + len(pattern)].all() and pattern in text:
-                        held[a : a + len(pattern)] = True
+            by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            for item, p, at in found:
+                by_item[item].append((at, p))
+            for item, spots in by_item.items():
+                held = self._verified(text, item, spots)
                 chars = int(held.sum())
                 if chars >= COVERAGE * self.length[item]:
                     yield group[doc], self.ids[item], chars / self.length[item]
 
-    def _stretch(self, text: str, at: int, p: int, item: int, held: np.ndarray) -> None:
-        """Marks the places of the item that a stretch of the text around a hit holds."""
-        whole = self.whole[item]
-        (right, x), (left, y) = follow(whole, p, text, at, 1), follow(whole, p - 1, text, at - 1, -1)
-        written = bool(is_written(whole[p - left : p + right]).mean() > 0.5) if left + right else False
-        if left + right >= STRETCH * WINDOW[written] and x + y <= STRETCH_EDITS * (left + right):
-            held[p - left : p + right] = True
+    def _verified(self, text: str, item: int, spots: list[tuple[int, int]]) -> np.ndarray:
+        """Which places of the item a text holds, given hits as (place in the text, place in the item)."""
+        whole, held = self.whole[item], np.zeros(self.length[item], dtype=bool)
+        runs: list[tuple[int, int, int, int, int]] = []  # (begin, end) in the item and in the text, edits
+        reached: dict[int, int] = {}  # how far a diagonal of the alignment is followed
+        for at, p in sorted(spots):
+            diagonal = (at - p) >> 3
+            if any(reached.get(d, -1) > at for d in (diagonal - 1, diagonal, diagonal + 1)):
+                continue
+            (right, x, ahead), (left, y, back) = follow(whole, p, text, at, 1), follow(whole, p - 1, text, at - 1, -1)
+            reached[diagonal] = at + ahead
+            reached[(at + ahead - p - right) >> 3] = at + ahead
+            if left + right:
+                runs.append((p - left, p + right, at - back, at + ahead, x + y))
+        self._mark(sorted(set(runs)), whole, held)
+        hit = sorted({self.sentence(item, p) for _, p in spots})
+        if sum(len(self.sentences[x][1]) for x in hit + self.short[item]) + int(held.sum()) < COVERAGE * len(whole):
+            return held  # not even if all of them stand there
+        for sentence in hit:
+            begin, pattern = self.begin[sentence], self.sentences[sentence][1]
+            place = held[begin : begin + len(pattern)]
+            if place.all():
+                continue
+            allowed = int(EDITS * len(pattern))
+            if len(pattern) - int(place.sum()) <= allowed or self._stands(text, sentence, spots, allowed):
+                place[:] = True
+        for sentence in self.short[item]:
+            a, pattern = self.begin[sentence], self.sentences[sentence][1]
+            if not held[a : a + len(pattern)].all() and pattern in text:
+                held[a : a + len(pattern)] = True
+        return held
+
+    def _mark(self, runs: list[tuple[int, int, int, int, int]], whole: str, held: np.ndarray) -> None:
+        """Marks what chains of runs hold: runs that follow each other in both texts, with small gaps, are one stretch."""
+        chains: list[list[int]] = []  # begin, end in the item, end in the text, characters, edits
+        for a, b, s, t, edits in runs:
+            for c in reversed(chains):
+                if -GAP < a - c[1] <= GAP and -GAP < s - c[2] <= GAP and b > c[1]:
+                    gap = max(0, a - c[1], s - c[2])
+                    c[1], c[2], c[3], c[4] = b, t, c[3] + min(b - a, b - c[1]), c[4] + edits + gap
+                    break
+            else:
+                chains.append([a, b, t, b - a, edits])
+        for a, b, _, _, edits in chains:
+            width = WINDOW[bool(is_written(whole[a:b]).mean() > 0.5)]
+            if b - a >= STRETCH * width and edits <= STRETCH_EDITS * (b - a):
+                held[a:b] = True
+
+    def sentence(self, item: int, place: int) -> int:
+        """The sentence of an item that holds a place of its text."""
+        first, last = self.first[item], self.first[item + 1]
+        return bisect_right(self.begin, place, first, last) - 1
+
+    def _stands(self, text: str, sentence: int, spots: list[tuple[int, int]], allowed: int) -> bool:
+        """Whether a sentence stands in the text within an edit distance, about where a hit says."""
+        begin, pattern = self.begin[sentence], self.sentences[sentence][1]
+        need, last = self.letters[sentence], None
+        for start in sorted({(at - p + begin) >> 3 for at, p in spots if begin <= p < begin + len(pattern)}):
+            if last is not None and start - last <= 1:
+                last = start
+                continue  # looked at with the one before, by the slack
+            last = start
+            part = text[max(0, start * 8 - allowed - 8) : start * 8 + len(pattern) + allowed + 24]
+            # every edit makes up for one missing letter at most
+            if sum(n - k for c, n in need if (k := part.count(c)) < n) <= allowed and edit_distance_within(pattern, part) <= allowed:
+                return True
+        return False
 
 
 def leaked(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
@@ -286,10 +349,10 @@ def leaked(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item
     spark = documents.sparkSession
     schema = f"`{doc_key}` {documents.schema[doc_key].dataType.simpleString()}, `{item_key}` {items.schema[item_key].dataType.simpleString()}, share double"
     rows = items.filter(F.length(F.trim(text)) > 0).select(item_key, text).orderBy(item_key, text)
-    out, block = None, []
+    out, block, size = None, [], 0
 
     def search(block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Index(block))  # bounded by BLOCK_ITEMS
+        shared = spark.sparkContext.broadcast(Index(block))  # bounded by BLOCK_CHARS
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -300,9 +363,10 @@ def leaked(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item
         return documents.select(F.col(doc_key), F.col(text)).mapInPandas(run, schema)
 
     for row in rows.toLocalIterator():
+        if block and size + len(row[1]) > BLOCK_CHARS:
+            out, block, size = search(block) if out is None else out.unionByName(search(block)), [], 0
         block.append((row[0], row[1]))
-        if len(block) == BLOCK_ITEMS:
-            out, block = search(block) if out is None else out.unionByName(search(block)), []
+        size += len(row[1])
     if block or out is None:
         out = search(block) if out is None else out.unionByName(search(block))
     return out

@@ -99,8 +99,8 @@ def test_table_and_blocks(spark, items, monkeypatch):
     docs = spark.createDataFrame([(1, items[0][1], "c"), (1, items[0][1], "c"), (2, None, "c"), (3, "", None), (4, " ", "c"), (5, "x" * 200_000 + items[5][1], "c"), (None, items[7][1], "c")], "doc_id long, text string, share string")
     table = spark.createDataFrame([(*x, 0.5) for x in items[:20]] + [(900, None, 1.0), (901, "", 1.0)], "item_id long, text string, share double")
     want = sorted([(1, items[0][0]), (1, items[0][0]), (5, items[5][0]), (None, items[7][0])], key=str)
-    for size in (2000, 7):
-        monkeypatch.setattr(leak, "BLOCK_ITEMS", size)
+    for size in (500_000, 2000):
+        monkeypatch.setattr(leak, "BLOCK_CHARS", size)
         assert sorted(((r["doc_id"], r["item_id"]) for r in leak.leaked(docs, table).collect()), key=str) == want
     assert leak.leaked(docs.limit(0), table).count() == 0 and leak.leaked(docs, table.limit(0)).count() == 0
 
@@ -122,3 +122,25 @@ def test_short_sentences_count_beside_other_hits():
     short = ["Herring was sold twice.", "Canvas cost four marks.", "Her brother went south.", "The shed froze in May."]
     index = leak.Index([(1, " ".join([long + ".", *short, "An unrelated further sentence about the pilots of the estuary follows here, much longer than the others."]))])
     assert _held(index, ["Page. " + long + ". Something else. " + " Something else. ".join(short)]) == {(0, 1)}
+
+
+@pytest.mark.parametrize("share, edits, least", [(0.45, 0, 0.99), (0.45, 0.05, 0.97), (0.45, 0.1, 0.9), (0.5, 0.05, 0.97), (0.5, 0.1, 0.95), (0.6, 0.1, 0.95), (1.0, 0.15, 0.98)])
+def test_recall_of_one_passage_cut_anywhere(index, items, share, edits, least):
+    """Passages that begin and end anywhere, with random edits of characters, against what was planted."""
+    rng, texts = random.Random(11), []
+    for _, t in items:
+        n = int(len(t) * share) + 1
+        first = rng.randrange(max(1, len(t) - n))
+        part = list(t[first : first + n])
+        for _ in range(int(edits * n)):
+            k = rng.randrange(len(part))
+            part[k] = rng.choice(["", "x", "山", part[k] + "e", part[k] + "の"])
+        texts.append("An unrelated opening line stands here. 別の話。 " + "".join(part) + " And a closing one. 終わり。")
+    found = _held(index, texts)
+    planted = {(i, item) for i, (item, _) in enumerate(items)}
+    assert len(found & planted) >= least * len(planted) and len(found - planted) <= 0.01 * len(planted)
+
+
+def test_a_third_of_an_item_is_none(index, items):
+    texts = [t[len(t) // 10 : len(t) // 10 + len(t) * 33 // 100] for _, t in items]
+    assert len(_held(index, texts)) <= 0.02 * len(texts)
