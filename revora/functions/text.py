@@ -2,7 +2,7 @@
 
 The three ways to split sentences differ on purpose: topics use every piece,
 remarks only pieces of a readable length, experience pieces of three
-characters or more.  Tokens are runs of one script of two characters or more,
+characters or more.  Tokens are runs of one script (Latin letters with their accents) of two characters or more,
 hiragana left out as it carries endings; a morphological tokenizer can take its
 place, as all operators take arrays of tokens.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import Column, functions as F
 TOPIC_SPLIT = "[。！？!?\\n]+"
 PLAIN_SPLIT = "[。！？\\n]+"
 SPACES = "[ \\t\\r\\n\\f\\x0B　]"
-TOKEN = "[ァ-ヶー]{2,}|[一-龥々]{2,}|[a-z]{2,}"
+TOKEN = "[ァ-ヶー]{2,}|[一-龥々]{2,}|[a-zß-öø-ɏ]{2,}"
 JAPANESE_LETTER = "[ぁ-ゖゝ-ゟァ-ヺー-ヿ一-鿿]"
 
 

@@ -66,6 +66,12 @@ def substitute_id(text: Column, date: Column, reviewer: Column) -> Column:
     return F.concat(F.lit(SUBSTITUTE), F.substring(F.sha1(F.concat_ws("|", text, date, reviewer)), 1, 16))
 
 
+def known_or_substitute() -> Column:
+    """A held review's id, or its substitute where it has none."""
+    c = lambda n: F.coalesce(n, F.lit(""))
+    return F.coalesce(F.nullif("review_id", F.lit("")), substitute_id(c("text"), c("review_date"), c("reviewer_name"))).alias("review_id")
+
+
 def with_ids(found: DataFrame) -> DataFrame:
     """Reviews without an id get a substitute; the second and later of one substitute in a facility get ``#2`` and so on."""
     made = F.when(F.col("review_id") != "", F.col("review_id")).otherwise(substitute_id(F.col("text"), F.col("review_date"), F.col("reviewer_name")))

@@ -28,10 +28,14 @@ def feeling_band(score: Column) -> Column:
     return F.when(score >= FEELING_BANDS[0], "good").when(score >= FEELING_BANDS[1], "even").when(score.isNotNull(), "poor")
 
 
+def first_sentence(text: Column) -> Column:
+    bare = F.trim(F.regexp_replace(text, "^\\s+|\\s+$", ""))
+    return F.trim(F.coalesce(F.nullif(F.regexp_extract(bare, "^([^。！？!?]*[。！？!?])", 1), F.lit("")), bare))
+
+
 def headline(text: Column, most: int = 44) -> Column:
     """The first sentence of a text as it stands, cut to a length."""
-    bare = F.trim(F.regexp_replace(text, "^\\s+|\\s+$", ""))
-    first = F.trim(F.coalesce(F.nullif(F.regexp_extract(bare, "^([^。！？!?]*[。！？!?])", 1), F.lit("")), bare))
+    first = first_sentence(text)
     return F.when(F.length(first) <= most, first).otherwise(F.concat(F.rtrim(F.substring(first, 1, most)), F.lit("…")))
 
 

@@ -40,10 +40,6 @@ _NUMBER = re.compile(r"[+-]?\d+(?:\.\d*)?", re.ASCII)
 _WHOLE = re.compile(r"\+?\d+", re.ASCII)
 _ISO = re.compile(r"\d{4}-\d{2}-\d{2}(?:[T ].+)?|\d{8}(?:T.+)?|\d{4}-?W\d{2}(?:-?\d)?(?:T.+)?", re.ASCII)
 
-# A cost is one integer that orders by quote edits, then delimiter edits, and
-# also carries how many of each were insertions.
-_DI, _QI, _D, _Q = 1, 1 << 6, 1 << 22, 1 << 42
-_NEVER = np.int64(1 << 62)
 _START, _PLAIN, _INSIDE, _CLOSED = range(4)
 
 
@@ -62,10 +58,17 @@ def split_exact(raw: str) -> list[str] | None:
 
 def edit_cost(raw: str, width: int) -> tuple[int, int, int, int]:
     """(inserted quotes, deleted quotes, inserted delimiters, deleted delimiters) of a cheapest repair to ``width`` fields."""
-    cost = np.full((4, width), _NEVER)  # state x delimiters read so far
+    # a cost is one integer that orders by quote edits, then delimiter edits, and also carries how many of each were
+    # insertions; its fields are as wide as this record's quotes and delimiters ask for
+    quotes, delimiters, inserted = (n.bit_length() + 1 for n in (raw.count('"') + 4, raw.count("\t") + width + 4, width + 4))
+    _DI, _QI, _D = 1, 1 << inserted, 1 << (inserted + quotes)
+    _Q = _D << delimiters
+    top = inserted + 2 * quotes + delimiters
+    kind, _NEVER = (np.int64, np.int64(1 << 62)) if top < 61 else (object, 1 << (top + 2))
+    cost = np.full((4, width), _NEVER, dtype=kind)  # state x delimiters read so far
     cost[_START, 0] = 0
 
-    steps = np.arange(width, dtype=np.int64) * (_D + _DI)
+    steps = np.arange(width, dtype=np.int64).astype(kind) * (_D + _DI)
 
     def insertions() -> None:
         for s, t in ((_CLOSED, _INSIDE), (_INSIDE, _CLOSED), (_START, _INSIDE)):
@@ -76,7 +79,7 @@ def edit_cost(raw: str, width: int) -> tuple[int, int, int, int]:
 
     insertions()
     for m in _SYMBOL.finditer(raw):
-        symbol, new = m.group(), np.full((4, width), _NEVER)
+        symbol, new = m.group(), np.full((4, width), _NEVER, dtype=kind)
         if symbol == "\t":
             new[_INSIDE] = cost[_INSIDE]  # inside quotes it is text
             ended = cost[[_START, _PLAIN, _CLOSED]].min(axis=0)
@@ -93,9 +96,9 @@ def edit_cost(raw: str, width: int) -> tuple[int, int, int, int]:
         cost = np.minimum(new, _NEVER)
         insertions()
     best = int(cost[[_START, _PLAIN, _CLOSED], width - 1].min())
-    quotes, delimiters = best >> 42, (best >> 22) & 0xFFFFF
-    qi, di = (best >> 6) & 0xFFFF, best & 0x3F
-    return qi, quotes - qi, di, delimiters - di
+    di, qi = best & (_QI - 1), (best % _D) // _QI
+    edits = best % _Q // _D
+    return qi, best // _Q - qi, di, edits - di
 
 
 def readable_list(text: str) -> bool:

@@ -1,7 +1,10 @@
 """Per-key results where a few keys hold most records: two-stage salted aggregation.
 
-Heavy keys are those above a share of all rows, of which there can be at most
-1 / share, so their list is bounded whatever the data.  Their rows get a salt,
+Heavy keys are those above a share of the rows of a sample, a share of the hashes
+of their ``spread_by`` column, of which there can be at most 1 / share, so their
+list is bounded whatever the data; which keys are salted decides only where the
+work is done, never a result.  The number of rows comes from the tables'
+footers, and SAMPLE_ROWS bound the sample.  Heavy keys' rows get a salt,
 partial results are made per (key, salt) and then merged per key.  The salt is
 a hash of a row's own column, not a random number drawn anew: a task that is
 run again after a lost executor gives the same salts.  Counting distinct values
@@ -18,13 +21,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 HEAVY_SHARE = 0.01
 SALTS = 32
+#: About how many rows show which keys are heavy.
+SAMPLE_ROWS = 1_000_000
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> tuple[list, int]:
-    """Keys that hold more than ``share`` of all rows (at most 1/share of them), and the number of rows."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+def heavy_keys(df: DataFrame, key: str, spread_by: str, share: float = HEAVY_SHARE) -> tuple[list, int]:
+    """Keys that hold more than ``share`` of a sample's rows (at most 1/share of them), and the number of all rows."""
     total = df.count()
-    found = counts.filter((F.col("n") > share * total) & F.col(key).isNotNull()).select(key).collect()
+    chosen = df.select(key, spread_by)
+    if total > SAMPLE_ROWS:
+        chosen = chosen.filter(F.pmod(F.xxhash64(F.col(spread_by), F.lit(7)), F.lit(1 << 20)) < (1 << 20) * SAMPLE_ROWS / total)
+    counts = chosen.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    found = counts.filter((F.col("n") > share * min(total, SAMPLE_ROWS)) & F.col(key).isNotNull()).select(key).collect()
     return sorted(r[0] for r in found), total
 
 
@@ -45,7 +53,11 @@ def salted_aggregate(
     salts: int = SALTS,
 ) -> DataFrame:
     """``partial`` per (key, salt), then ``merge`` per key; ``distinct`` maps result names to columns whose distinct values are counted."""
-    heavy, _ = heavy_keys(df, key, share)
+    heavy, _ = heavy_keys(df, key, spread_by, share)
+    return _salted(df, heavy, key, spread_by, partial, merge, distinct, salts)
+
+
+def _salted(df: DataFrame, heavy: list, key: str, spread_by: str, partial: dict[str, Column], merge: dict[str, Column], distinct: dict[str, str] | None, salts: int) -> DataFrame:
     first = df.withColumn("_salt", salt(key, heavy, F.col(spread_by), salts)).groupBy(key, "_salt").agg(*(c.alias(n) for n, c in partial.items()))
     out = first.groupBy(key).agg(*(c.alias(n) for n, c in merge.items()))
     for name, column in (distinct or {}).items():
@@ -58,8 +70,8 @@ def salted_aggregate(
 
 def keys_above(df: DataFrame, key: str, spread_by: str, share: float) -> DataFrame:
     """Keys that hold more than ``share`` of all rows, from merged salted counts."""
-    counts = salted_aggregate(df, key, spread_by, {"n": F.count(F.lit(1))}, {"n": F.sum("n")}, share=min(share, HEAVY_SHARE))
-    total = df.count()
+    heavy, total = heavy_keys(df, key, spread_by, min(share, HEAVY_SHARE))
+    counts = _salted(df, heavy, key, spread_by, {"n": F.count(F.lit(1))}, {"n": F.sum("n")}, None, SALTS)
     return counts.filter(F.col(key).isNotNull() & (F.col("n") > F.lit(share * total))).select(key, "n")
 
 

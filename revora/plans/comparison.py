@@ -1,4 +1,4 @@
-"""Queries that compare facilities, over the mean sub-scores of the axes that metric_def names in Japanese."""
+"""Queries that compare facilities, over the mean sub-scores of the axes of metric_def, however their names are written."""
 
 from __future__ import annotations
 
@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import fixed, fixed_sql
 from ..operators import compare
+from ..operators.wide_table import name_key_column, name_key_sql
 from ..sources.tables import table
 
 
 def matrix(spark: SparkSession, folder: str) -> DataFrame:
     """(facility_id, metric, score, ftype), scores on a scale of 100."""
-    d = table(spark, folder, "metric_def").filter("held_in = 'review_subscore'").select(F.col("label_ja").alias("axis"), F.col("attr").alias("metric"))
-    s = table(spark, folder, "review_subscore").select("review_db_id", "axis", "value").filter("value is not null").join(d, "axis")
+    forms = F.array("attr", "label_ja", "label_en", F.concat("label_ja", "label_en"), F.concat("label_en", "label_ja"))
+    d = table(spark, folder, "metric_def").filter("held_in = 'review_subscore'").select(F.col("attr").alias("metric"), F.explode(forms).alias("form"))
+    d = d.filter("form is not null").groupBy(name_key_column(F.col("form")).alias("key")).agg(F.min("metric").alias("metric"))
+    s = table(spark, folder, "review_subscore").filter("value is not null").select("review_db_id", name_key_column(F.col("axis")).alias("key"), "value").join(d, "key")
     r = table(spark, folder, "review").select(F.col("id").alias("review_db_id"), "facility_id")
     f = table(spark, folder, "facility").select(F.col("id").alias("facility_id"), "ftype")
     m = s.join(r, "review_db_id").groupBy("facility_id", "metric").agg(fixed(F.sum("value") / F.count("value") * 20, 4).alias("score"))
@@ -93,8 +96,10 @@ QUERIES = {f.__name__: f for f in (
 _M = f"""
     SELECT m.facility_id, m.metric, m.score, f.ftype FROM (
         SELECT r.facility_id, d.attr AS metric, {fixed_sql('sum(s.value) / count(s.value) * 20', 4)} AS score
-        FROM review_subscore s JOIN metric_def d ON d.label_ja = s.axis AND d.held_in = 'review_subscore' JOIN review r ON r.id = s.review_db_id
-        WHERE s.value IS NOT NULL GROUP BY 1, 2) m JOIN facility f ON f.id = m.facility_id"""
+        FROM (SELECT x.review_db_id, x.value, k.key FROM review_subscore x JOIN (SELECT axis, {name_key_sql('axis')} AS key FROM (SELECT DISTINCT axis FROM review_subscore)) k ON k.axis = x.axis) s
+        JOIN (SELECT key, min(attr) AS attr FROM (SELECT attr, {name_key_sql('form')} AS key FROM (
+            SELECT attr, unnest([attr, label_ja, label_en, label_ja || label_en, label_en || label_ja]) AS form FROM metric_def WHERE held_in = 'review_subscore') WHERE form IS NOT NULL) GROUP BY 1) d ON d.key = s.key
+        JOIN review r ON r.id = s.review_db_id WHERE s.value IS NOT NULL GROUP BY 1, 2) m JOIN facility f ON f.id = m.facility_id"""
 
 
 def _others(peer: str) -> str:

@@ -35,7 +35,7 @@ def surrogate_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _batches(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    r = table(spark, folder, "review").select("id", "facility_id", "review_id", "fetched_at").filter("review_id is not null")
+    r = table(spark, folder, "review").select("id", "facility_id", ingest.known_or_substitute(), "fetched_at")
     early = F.col("fetched_at") < F.lit(CUT).cast("timestamp_ntz")
     return r.filter(early), r.filter(~early)
 
@@ -205,8 +205,9 @@ _FACILITIES = f"""(SELECT a.facility_key, coalesce(b.name, '(unknown)') AS name,
            arg_min(total_reviews, row_no) FILTER (total_reviews IS NOT NULL) AS total_reviews, arg_min(category, row_no) FILTER (category <> '') AS category FROM {_RECORDS} GROUP BY 1) a
     LEFT JOIN (SELECT facility_key, facility_name AS name FROM (SELECT facility_key, facility_name, count(*) AS k, min(row_no) AS first FROM {_RECORDS} WHERE facility_name <> '' GROUP BY 1, 2)
         QUALIFY row_number() OVER (PARTITION BY facility_key ORDER BY k DESC, first) = 1) b USING (facility_key))"""
-_HELD = f"(SELECT facility_id, review_id FROM review WHERE review_id IS NOT NULL AND fetched_at < TIMESTAMP '{CUT}')"
-_BATCH = f"(SELECT id, facility_id, review_id FROM review WHERE review_id IS NOT NULL AND fetched_at >= TIMESTAMP '{CUT}')"
+_ID = "coalesce(nullif(review_id, ''), 'h:' || left(sha1(coalesce(text, '') || '|' || coalesce(review_date, '') || '|' || coalesce(reviewer_name, '')), 16))"
+_HELD = f"(SELECT facility_id, {_ID} AS review_id FROM review WHERE fetched_at < TIMESTAMP '{CUT}')"
+_BATCH = f"(SELECT id, facility_id, {_ID} AS review_id FROM review WHERE fetched_at >= TIMESTAMP '{CUT}')"
 _BUDGET = f"""(SELECT dataset, n, CAST(least(n, budget_left) AS BIGINT) AS fetched, least(n, budget_left) < n AND budget_left > 0 AS truncated, least(n, budget_left) = n AS advances FROM (
     SELECT dataset, n, greatest(0, {BUDGET} - coalesce(sum(n) OVER (ORDER BY dataset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS budget_left FROM (SELECT facility_id AS dataset, count(*) AS n FROM review WHERE facility_id IS NOT NULL GROUP BY 1)))"""
 _U = "(SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings WHERE list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)) > 0)"

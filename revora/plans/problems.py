@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import nested, raw_records, salted, wide_table
-from ..runtime import spread
+from ..runtime import shared_dir, spread, written
 from ..sources.tables import table
 
 #: Fixed value: the share of all reviews above which a facility is reported.
 HEAVY_FACILITY = 0.03
-#: Rows of one batch of the log-structured store.
-BATCH_ROWS = 250_000
+#: Batches in which a table is loaded into the log-structured store, by ranges of ids.
+BATCHES = 2
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,10 +39,15 @@ def _definitions(spark: SparkSession, folder: str, tab: str) -> tuple[dict[str,
 def _wide(spark: SparkSession, folder: str, tab: str, entity: str, name: str) -> tuple[DataFrame, dict[str, str]]:
     keys, types = _definitions(spark, folder, tab)
     rows = table(spark, folder, tab).select(entity, name, "value", "id")
-    rows = rows.withColumn("attr", wide_table.attribute_of(F.col(name), keys))
-    batch = F.floor(F.col("id") / BATCH_ROWS).cast("bigint")
-    deltas = wide_table.delta(rows, entity, "attr", "value", "id", types, batch)
-    return wide_table.compact(deltas, types), types
+    low, high = rows.agg(F.min("id"), F.max("id")).first()  # from the footers
+    rows = wide_table.with_attribute(rows, name, keys)
+    store = wide_table.LogStore(spark, f"{shared_dir(spark)}/wide-{tab}-{uuid.uuid4().hex}", types)
+    step = ((high or 0) - (low or 0)) // BATCHES + 1
+    for k in range(BATCHES if high is not None else 0):
+        own = rows.filter(F.col("id").between(low + k * step, low + (k + 1) * step - 1))
+        store.append(wide_table.delta(own, entity, "attr", "value", "id", types))
+    written(spark, store.folder)
+    return store.wide(), types
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -45,7 +45,7 @@ def subscore_matrix(spark: SparkSession, folder: str) -> DataFrame:
 def score_matrix(spark: SparkSession, folder: str) -> DataFrame:
     """Scores typed into sheets on a scale of 100: the last readable one of each facility and metric name."""
     s = table(spark, folder, "score").filter("source = 'excel'").select("facility_id", "metric_name", "scale", "id", F.col("value").alias("typed"))
-    v = F.when(F.trim("typed").rlike(r"^[0-9]+(\.[0-9]+)?$"), F.trim("typed").try_cast("double"))
+    v = wide_table.typed(F.col("typed"), "decimal").cast("double")
     last = s.withColumn("v", v).filter("v is not null").groupBy("facility_id", "metric_name").agg(F.max(F.struct("id", "v", "scale")).alias("m"))
     return last.select("facility_id", "metric_name", fixed(F.col("m.v") / F.coalesce("m.scale", F.lit(5.0)) * 100, 2).alias("score"))
 
@@ -110,11 +110,11 @@ def period_label(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def monthly_trend(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether reviews of the last twelve months in each series outnumber those of the twelve before."""
+    """Whether the cumulative number of reviews is larger at the end of the last 24 months of each series than at their beginning."""
     w = Window.partitionBy("facility_id").orderBy(F.desc("ym"))
-    m = monthly_counts(spark, folder).withColumn("back", F.row_number().over(w))
-    agg = m.groupBy("facility_id").agg(F.sum(F.when(F.col("back") <= 12, F.col("n"))).alias("recent"), F.sum(F.when(F.col("back").between(13, 24), F.col("n"))).alias("earlier"))
-    return agg.select("facility_id", "recent", F.coalesce("earlier", F.lit(0)).alias("earlier"), F.when(F.col("recent") > F.coalesce("earlier", F.lit(0)), "increasing").otherwise("not increasing").alias("trend"))
+    m = cumulative_reviews(spark, folder).withColumn("back", F.row_number().over(w)).filter("back <= 24")
+    agg = m.groupBy("facility_id").agg(F.min_by("total", "ym").alias("first_total"), F.max_by("total", "ym").alias("last_total"))
+    return agg.select("*", F.when(F.col("last_total") > F.col("first_total"), "increasing").otherwise("not increasing").alias("trend"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -156,7 +156,7 @@ SQL = {
     "score_matrix": f"""
         SELECT facility_id, metric_name, {fixed_sql('v / coalesce(scale, 5.0::DOUBLE) * 100', 2)} AS score FROM (
             SELECT *, row_number() OVER (PARTITION BY facility_id, metric_name ORDER BY id DESC) AS k FROM (
-                SELECT facility_id, metric_name, scale, id, CASE WHEN regexp_matches(trim(value, ' '), '^[0-9]+(\\.[0-9]+)?$') THEN try_cast(trim(value, ' ') AS DOUBLE) END AS v FROM score WHERE source = 'excel')
+                SELECT facility_id, metric_name, scale, id, {wide_table.decimal_sql('value')} AS v FROM score WHERE source = 'excel')
             WHERE v IS NOT NULL) WHERE k = 1""",
     "positive_rate": f"""
         SELECT facility_id, count(*) FILTER (rating >= 4) AS n_pos, count(rating) AS n_rated, CAST({fixed_sql('100.0::DOUBLE * (count(*) FILTER (rating >= 4)) / count(rating)', 0)} AS INT) AS positive_pct
@@ -189,7 +189,7 @@ SQL = {
             SELECT facility_id, a, b, left(a, 4) || '/' || CAST(CAST(substr(a, 6, 2) AS INT) AS VARCHAR) AS la, left(b, 4) || '/' || CAST(CAST(substr(b, 6, 2) AS INT) AS VARCHAR) AS lb FROM (
                 SELECT facility_id, min(ym) AS a, max(ym) AS b FROM (SELECT facility_id, {_YM} AS ym FROM review) WHERE ym IS NOT NULL AND facility_id IS NOT NULL GROUP BY 1))""",
     "monthly_trend": f"""
-        SELECT facility_id, recent, coalesce(earlier, 0) AS earlier, CASE WHEN recent > coalesce(earlier, 0) THEN 'increasing' ELSE 'not increasing' END AS trend FROM (
-            SELECT facility_id, CAST(sum(n) FILTER (back <= 12) AS BIGINT) AS recent, CAST(sum(n) FILTER (back BETWEEN 13 AND 24) AS BIGINT) AS earlier FROM (
-                SELECT *, row_number() OVER (PARTITION BY facility_id ORDER BY ym DESC) AS back FROM ({_COUNTS})) GROUP BY 1)""",
+        SELECT facility_id, arg_min(total, ym) AS first_total, arg_max(total, ym) AS last_total, CASE WHEN arg_max(total, ym) > arg_min(total, ym) THEN 'increasing' ELSE 'not increasing' END AS trend FROM (
+            SELECT facility_id, ym, CAST(sum(n) OVER (PARTITION BY facility_id ORDER BY ym ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total, row_number() OVER (PARTITION BY facility_id ORDER BY ym DESC) AS back FROM ({_COUNTS}))
+        WHERE back <= 24 GROUP BY 1""",
 }

@@ -28,7 +28,7 @@ def headlines(spark: SparkSession, folder: str) -> DataFrame:
 
 def quote_checks(spark: SparkSession, folder: str) -> DataFrame:
     """Whether each text's first sentence, and the same with a mark added, stand in it word for word."""
-    t = _texts(spark, folder, "id").withColumn("q", p.headline(F.col("text"), 10_000))
+    t = _texts(spark, folder, "id").withColumn("q", p.first_sentence(F.col("text")))
     return t.select("id", p.quoted(F.col("text"), F.col("q")).alias("own"), p.quoted(F.col("text"), F.concat("q", F.lit("§"))).alias("changed"))
 
 
@@ -105,7 +105,7 @@ from .ingest import _RECORDS  # noqa: E402
 SQL = {
     "heat_bands": f"SELECT facility_id, metric, CASE WHEN score / 20 >= 4.2::DOUBLE THEN 0 WHEN score / 20 >= 3.8::DOUBLE THEN 1 WHEN score / 20 >= 3.4::DOUBLE THEN 2 WHEN score / 20 >= 3.0::DOUBLE THEN 3 ELSE 4 END AS band, CASE WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'even' ELSE 'poor' END AS feeling FROM ({_M})",
     "headlines": f"SELECT id, CASE WHEN length(f) <= 44 THEN f ELSE rtrim(left(f, 44), ' ') || '…' END AS headline FROM (SELECT id, {_FIRST} AS f FROM {_T})",
-    "quote_checks": f"SELECT id, {_NOSPACE('q')} <> '' AND contains({_NOSPACE('text')}, {_NOSPACE('q')}) AS own, contains({_NOSPACE('text')}, {_NOSPACE('q')} || '§') AS changed FROM (SELECT id, text, CASE WHEN length(f) <= 10000 THEN f ELSE rtrim(left(f, 10000), ' ') || '…' END AS q FROM (SELECT id, text, {_FIRST} AS f FROM {_T}))",
+    "quote_checks": f"SELECT id, {_NOSPACE('q')} <> '' AND contains({_NOSPACE('text')}, {_NOSPACE('q')}) AS own, contains({_NOSPACE('text')}, {_NOSPACE('q')} || '§') AS changed FROM (SELECT id, text, {_FIRST} AS q FROM {_T})",
     "years_in_values": "SELECT id, try_cast(nullif(regexp_extract(value, '(1[6-9][0-9]{2}|20[0-9]{2})', 1), '') AS INT) AS year FROM score WHERE regexp_extract(value, '(1[6-9][0-9]{2}|20[0-9]{2})', 1) <> ''",
     "simple_names": "SELECT id, trim(regexp_extract(regexp_replace(name, '[（(][^）)]*[）)]', '', 'g'), '^([^・／/|｜]*)', 1), ' ') AS name FROM facility",
     "bubble_scales": f"SELECT facility_id, metric, score, {fixed_sql('coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 0.0::DOUBLE)', 4)} AS scaled FROM ({_M}) WINDOW w AS (PARTITION BY metric)",

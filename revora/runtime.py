@@ -92,14 +92,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not _WRITTEN:
-        atexit.register(release)
-    _WRITTEN.append((spark, path))
+    written(spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     table._revora_path = path
     return table
 
 
+def written(spark: SparkSession, path: str) -> None:
+    """Have :func:`release` remove a folder."""
+    if not _WRITTEN:
+        atexit.register(release)
+    _WRITTEN.append((spark, path))
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

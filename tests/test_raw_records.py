@@ -100,3 +100,12 @@ def test_reason_of_a_failed_scrape_is_whole():
     for column in ("error", "error_code"):
         why = "timed out; " * 60 + "end"
         assert rr.judge(record(**{column: why}))[:2] == ("error", why)
+
+
+def test_many_surplus_delimiters():
+    """Surplus delimiters never count as quotes, however many there are."""
+    n = 100_000
+    reason, detail, _ = rr.judge("a\t" * n + "b", tuple("xyz"))
+    assert reason == "column_count" and detail == f"delete delimiter {n - 2}"
+    assert rr.edit_cost('"' + "\t" * 70, 80)[:2] in ((1, 0), (0, 1))
+    assert rr.edit_cost("x" + "\t" * 3, 300) == (0, 0, 296, 0)  # more fields than a byte counts

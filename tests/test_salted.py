@@ -22,10 +22,13 @@ def test_same_as_plain(spark):
     assert sorted(map(tuple, got.select("k", "n", "t", "m", "d").collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
 
 
-def test_heavy_and_shares(spark):
+def test_heavy_and_shares(spark, monkeypatch):
     _, df = _rows(spark)
-    assert s.heavy_keys(df, "k", 0.5)[0] == [1]
+    assert s.heavy_keys(df, "k", "id", 0.5) == ([1], 3000)
     assert [r["k"] for r in s.keys_above(df, "k", "id", 0.5).collect()] == [1]
+    monkeypatch.setattr(s, "SAMPLE_ROWS", 500)
+    assert s.heavy_keys(df, "k", "id", 0.5) == ([1], 3000)
+    assert [tuple(r) for r in s.keys_above(df, "k", "id", 0.5).collect()] == [(1, df.filter("k = 1").count())]
     empty = df.limit(0)
     assert s.keys_above(empty, "k", "id", 0.03).count() == 0
 

@@ -62,3 +62,26 @@ def test_more_definitions_than_ten_thousand(spark, tmp_path):
     spark.range(n).selectExpr("concat('a', id) as attr", "concat('b', id) as label_ja", "concat('c', id) as label_en", "'score' as held_in", "'text' as value_type").coalesce(1).write.parquet(str(tmp_path / "metric_def.parquet"))
     keys, types = problems._definitions(spark, str(tmp_path), "score")
     assert len(types) == n and set(keys.values()) == set(types)
+
+
+def test_key_expression_is_the_key(spark):
+    names = ["staff_care", "STAFF CARE", "Ｓｔａｆｆ　ｃａｒｅ", "ｽﾀｯﾌ対応", "ｻｰﾋﾞｽ（Service）", "ﾛｹｰｼｮﾝ:", "パｰｸ", "ﾊﾟｰｷﾝｸﾞ", " 客室　", "Trip type", "旅行の種類", "Opened-year:", "", "→％＋", "Âccès été"]
+    got = {r["n"]: r["k"] for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", w.name_key_column(F.col("n")).alias("k")).collect()}
+    assert got == {n: w.name_key(n) for n in names}
+
+
+def test_store_merges_runs_and_reads_only_those(spark, tmp_path):
+    rng = random.Random(5)
+    store, rows, read = w.LogStore(spark, str(tmp_path / "log"), TYPES), [], []
+    plain_read = store._read
+    store._read = lambda names: (read.append(list(names)), plain_read(names))[1]
+    assert store.wide().count() == 0
+    for batch in range(6):
+        new = [(rng.randint(1, 9), rng.choice(list(TYPES)), rng.choice(["1", "2020", "yes", "20200102", "??"]), batch * 50 + i) for i in range(50)]
+        rows += new
+        store.append(w.delta(spark.createDataFrame(new, "e long, a string, v string, id long"), "e", "a", "v", "id", TYPES))
+    assert sorted(t for _, t in store.runs()) == [0, 0, 1] and [len(r) for r in read] == [4]  # four runs merged once, the rest not read
+    again = w.LogStore(spark, str(tmp_path / "log"), TYPES)
+    whole = w.compact(w.delta(spark.createDataFrame(rows, "e long, a string, v string, id long"), "e", "a", "v", "id", TYPES), TYPES)
+    cells = lambda wide: sorted(map(tuple, w.filled_cells(wide, TYPES).collect()))
+    assert cells(again.wide()) == cells(whole)
