@@ -27,11 +27,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import components
-from ..operators.salted import SALTS
+from ..operators.salted import heavy_keys, skew_join
 from ..runtime import materialize
 
 #: Old or variant forms of characters and their common forms.
@@ -377,12 +378,67 @@ def near(a: str, b: str, known: dict[int, int] | None = None) -> float | None:
     return near_japanese(japanese(a), japanese(b)) if ja else near_latin(latin(a), latin(b), known)
 
 
+#: Registered names, and names, of one block that are compared in one piece; blocks with more are split, and the pieces met with each other.
+MOST_REGISTERED, MOST_NAMES = 1000, 20_000
+#: Slips that names may have between them, each of which brings one letter that the other name lacks at most.
+MOST_SLIPS = 3
+
+
+class Shape:
+    """A name made ready for comparison, with bounds that arrays of names can be tested by."""
+
+    __slots__ = ("japanese", "form", "core", "bag", "open", "own", "forms")
+
+    def __init__(self, name: str) -> None:
+        self.japanese = is_japanese(name)
+        self.core, self.bag, self.open = np.zeros(36, np.int16), np.zeros(36, np.int16), False
+        self.own, self.forms = 0, (0, 0)
+        if self.japanese:
+            self.form: object = japanese(name)
+            mask = lambda cs: sum({1 << (ord(c) % 61) for c in cs})
+            self.own = mask(self.form)
+            self.forms = (mask(set(self.form) - FILLERS), mask(set(full_kinds(self.form)) - FILLERS))
+        else:
+            self.form = latin(name)
+            for t, cut, aside in self.form:
+                at = np.array([int(c, 36) for c in t])
+                np.add.at(self.bag, at, 1)
+                if len(t) > 2 and not aside:
+                    np.add.at(self.core, at, 1)
+                self.open |= cut or len(t) <= 2  # may stand for a longer token
+
+
+def may_be_near(left: list[Shape], right: list[Shape]) -> np.ndarray:
+    """(left x right) False where :func:`near` can't accept the pair: each has letters the other lacks, more than slips explain."""
+    column = lambda names, k: np.stack([getattr(n, k) for n in names])
+    japanese = np.array([n.japanese for n in left])[:, None] & np.array([n.japanese for n in right])
+    latin_ = ~np.array([n.japanese for n in left])[:, None] & ~np.array([n.japanese for n in right])
+    out = np.zeros(latin_.shape, dtype=bool)
+    if latin_.any():
+        out = latin_.copy()
+        for core, bag, open_, swap in ((column(left, "core"), column(right, "bag"), [n.open for n in right], False), (column(right, "core"), column(left, "bag"), [n.open for n in left], True)):
+            over = np.zeros((len(core), len(bag)), np.int16)
+            for k in np.flatnonzero(core.any(axis=0)):  # a letter at a time keeps the arrays small
+                over += np.maximum(core[:, k, None] - bag[:, k], 0)
+            near_ = (over <= MOST_SLIPS) | np.array(open_)
+            out &= near_.T if swap else near_
+    if japanese.any():
+        own_l, own_r = (np.array([n.own for n in x], np.int64) for x in (left, right))
+        fits = np.zeros_like(japanese)
+        for i in (0, 1):
+            form_l, form_r = (np.array([n.forms[i] for n in x], np.int64) for x in (left, right))
+            fits |= (form_r & ~own_l[:, None]) == 0
+            fits |= (form_l[:, None] & ~own_r) == 0
+        out |= japanese & fits
+    return out
+
+
 def _with_blocks(names: DataFrame) -> DataFrame:
     @F.pandas_udf("array<string>")
     def keys(column: pd.Series) -> pd.Series:
         return column.map(lambda n: blocks(n) if n and n.strip() else [])
 
-    return names.withColumn("block", F.explode(keys("name")))
+    return names.withColumn("block", F.explode(keys("name"))).withColumn("block", F.xxhash64("block"))
 
 
 def _uses(name: str) -> list[tuple[int, int]]:
@@ -410,48 +466,80 @@ def known_words(registered: DataFrame) -> dict[int, int]:
     return {r["p"]: r["count"] for r in found.collect()}
 
 
-def close_pairs(names: DataFrame, registered: DataFrame, share: float = 0.005) -> DataFrame:
+def close_pairs(names: DataFrame, registered: DataFrame) -> DataFrame:
     """(name, facility_id, slips) of every accepted pair of one of distinct names and a registered name (facility_id, name).
 
-    Blocks that hold more than ``share`` of the names are salted: their names
-    are spread, and their registered names repeated, over several tasks.
+    The names of a block, registered ones first, lie next to each other in one
+    task, so each is sent once and not once for every pair; arrays of letters
+    rule out most pairs before two names are compared.  A block with many
+    names is split into pieces, and every piece of registered names meets every
+    piece of names.
     """
-    left, right = _with_blocks(names.select("name")), _with_blocks(registered.select("facility_id", "name"))
-    left = materialize(left, "name-blocks")
-    known = names.sparkSession.sparkContext.broadcast(known_words(registered))
-    counts = left.groupBy("block").count()
-    total = left.count()
-    heavy = [r[0] for r in counts.filter(F.col("count") > max(share * total, 500)).select("block").collect()]  # at most 1 / share
-    hot = F.col("block").isin(*heavy) if heavy else F.lit(False)
-    left = left.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int")).otherwise(0))
-    right = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    pairs = left.join(right.withColumnRenamed("name", "other"), ["block", "_salt"]).select("name", "facility_id", "other")
+    spark = names.sparkSession
+    known = spark.sparkContext.broadcast(known_words(registered))
+    own = registered.select("name").distinct().withColumn("registered", F.lit(1))
+    every = names.select("name").withColumn("registered", F.lit(0)).union(own).groupBy("name").agg(F.max("registered").alias("registered"))
+    every = every.repartition(2 * spark.sparkContext.defaultParallelism)  # names are few bytes but much work
+    held = materialize(_with_blocks(every), "name-blocks")
+    counts = held.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum("registered").alias("m")).filter("m > 0 and n > 1")
+    counts = counts.select("block", F.ceil(F.col("n") / MOST_NAMES).cast("int").alias("a"), F.ceil(F.col("m") / MOST_REGISTERED).cast("int").alias("b"))
+    met = held.join(counts, "block")
+    hashed = lambda k: F.pmod(F.xxhash64("name"), F.col(k).cast("bigint")).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    left = met.withColumn("at", hashed("a")).withColumn("bt", each("b")).withColumn("side", F.lit(1))
+    right = met.filter("registered = 1").withColumn("at", each("a")).withColumn("bt", hashed("b")).withColumn("side", F.lit(0))
+    pieces = right.select("block", "at", "bt", "side", "name").union(left.select("block", "at", "bt", "side", "name"))
+    pieces = pieces.repartition("block", "at", "bt").sortWithinPartitions("block", "at", "bt", "side")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forms: dict[str, object] = {}
+        shapes: dict[str, Shape] = {}
         tokens: dict[tuple, float | None] = {}
+        done: dict[tuple[str, str], float | None] = {}
         words = known.value
 
-        def form(n: str) -> object:
-            if n not in forms:
-                if len(forms) > 200_000:
-                    forms.clear()
-                forms[n] = (True, japanese(n)) if is_japanese(n) else (False, latin(n))
-            return forms[n]
-
-        for b in batches:
-            rows, seen = [], {}
-            for name, fid, other in zip(b["name"], b["facility_id"], b["other"]):
-                if (name, other) not in seen:
-                    if len(tokens) > 500_000:
-                        tokens.clear()
-                    (ja, x), (jb, y) = form(name), form(other)
-                    seen[name, other] = None if ja != jb else near_japanese(x, y) if ja else near_latin(x, y, words, tokens)
-                if seen[name, other] is not None:
-                    rows.append((name, fid, seen[name, other]))
-            yield pd.DataFrame(rows, columns=["name", "facility_id", "slips"])
-
-    return pairs.mapInPandas(run, "name string, facility_id bigint, slips double").groupBy("name", "facility_id").agg(F.min("slips").alias("slips"))
+        def shape(n: str) -> Shape:
+            if n not in shapes:
+                if len(shapes) > 200_000:
+                    shapes.clear()
+                shapes[n] = Shape(n)
+            return shapes[n]
+
+        def compare(left: list[str], right: list[str], rows: list) -> None:
+            a, b = [shape(n) for n in left], [shape(n) for n in right]
+            for c in range(0, len(a), 2000):
+                for i, j in zip(*(x.tolist() for x in np.nonzero(may_be_near(a[c : c + 2000], b)))):
+                    pair = left[c + i], right[j]
+                    if pair not in done:
+                        if len(tokens) > 500_000:
+                            tokens.clear()
+                        if len(done) > 500_000:
+                            done.clear()
+                        x, y = a[c + i], b[j]
+                        slips = near_japanese(x.form, y.form) if x.japanese else near_latin(x.form, y.form, words, tokens)
+                        done[pair] = slips
+                        if slips is not None:
+                            rows.append((*pair, slips))
+
+        key, right = None, []
+        for batch in batches:
+            rows: list[tuple[str, str, float]] = []
+            keys = batch[["block", "at", "bt", "side"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            listed = batch["name"].tolist()
+            for first, last in zip(cuts, cuts[1:]):
+                if first == last:
+                    continue
+                own_key, side, part = tuple(keys[first, :3]), keys[first, 3], listed[first:last]
+                if side == 0:
+                    right = right + part if own_key == key else part
+                    key = own_key
+                elif own_key == key:
+                    compare(part, right, rows)
+            yield pd.DataFrame(rows, columns=["name", "other", "slips"])
+
+    same = own.select("name", F.col("name").alias("other"), F.lit(0.0).alias("slips"))  # needs no block
+    pairs = pieces.mapInPandas(run, "name string, other string, slips double").union(same).groupBy("name", "other").agg(F.min("slips").alias("slips"))
+    return pairs.join(registered.select("facility_id", F.col("name").alias("other")), "other").select("name", "facility_id", "slips")
 
 
 def linked(facility: DataFrame, typed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -459,7 +547,6 @@ def linked(facility: DataFrame, typed: DataFrame) -> tuple[DataFrame, DataFrame]
     registered = materialize(facility.filter("facility_id is not null and trim(name) <> ''").select("facility_id", "name"), "registered")
     rows = typed.filter("trim(name) <> ''").select("rec_id", "name")
     every = rows.select("name").union(registered.select("name")).distinct()
-    every = every.repartition(2 * every.sparkSession.sparkContext.defaultParallelism)  # names are few bytes but much work
     pairs = materialize(close_pairs(every, registered), "name-pairs")
     # edges between registered names
     edges = pairs.join(registered.select(F.col("facility_id").alias("x"), "name"), "name").select("x", F.col("facility_id").alias("y"))
@@ -470,4 +557,6 @@ def linked(facility: DataFrame, typed: DataFrame) -> tuple[DataFrame, DataFrame]
     best = near_roots.groupBy("name").agg(F.min("slips").alias("least"), F.min(F.struct("slips", "root")).alias("b"))
     tied = near_roots.join(best, "name").filter("slips = least").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     chosen = best.join(tied.filter("n = 1"), "name").select("name", F.col("b.root").alias("root"))
-    return roots, rows.join(chosen, "name").select("rec_id", "name", "root")
+    # a name that many rows give is spread over tasks
+    heavy, _ = heavy_keys(rows, "name", "rec_id")
+    return roots, skew_join(rows, chosen, "name", "rec_id", heavy).select("rec_id", "name", "root")

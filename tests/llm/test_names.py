@@ -67,6 +67,37 @@ def test_blocks_lose_nothing_against_all_pairs(spark, folder):
     assert len(near) > 50 and len(kept) >= 0.98 * len(near)
 
 
+def test_bounds_rule_out_no_accepted_pair(folder, spark):
+    rng, names = random.Random(9), [x for pair in SAME + OTHER for x in pair]
+    typed = [r[0] for r in spark.read.parquet(f"{folder}/sample_reviews.parquet").select("place_name").distinct().collect() if r[0] and r[0].strip()]
+    slipped = []
+    for name in names + typed[:60]:
+        for _ in range(8):
+            x = name
+            for _ in range(rng.randint(1, 3)):
+                i, how = rng.randrange(max(1, len(x) - 1)), rng.randrange(4)
+                x = x[:i] + (x[i + 1 : i + 2] + x[i : i + 1], "", x[i : i + 1] * 2, rng.choice("eaノ"))[how] + x[i + (2 if how == 0 else 1) :]
+            slipped.append(x)
+    left = [x for x in names + typed + slipped if x.strip()]
+    shapes = [n.Shape(x) for x in left]
+    may = n.may_be_near(shapes, shapes[: len(names) + 60])
+    accepted = [(i, j) for i in range(len(left)) for j in range(len(names) + 60) if n.near(left[i], left[j]) is not None or n.near(left[i], left[j], {}) is not None]
+    assert len(accepted) > 300 and all(may[i, j] for i, j in accepted)
+    assert may.mean() < 0.2
+
+
+def test_pairs_against_all_pairs_with_split_blocks(spark, folder, monkeypatch):
+    facility = [(r["id"], r["name"]) for r in spark.read.parquet(f"{folder}/facility.parquet").collect() if r["name"] and r["name"].strip()]
+    typed = [r[0] for r in spark.read.parquet(f"{folder}/sample_reviews.parquet").select("place_name").distinct().collect() if r[0] and r[0].strip()]
+    registered = spark.createDataFrame(facility, "facility_id long, name string")
+    known = n.known_words(registered)
+    want = {(a, i) for a in typed for i, b in facility if n.near(a, b, known) is not None}
+    monkeypatch.setattr(n, "MOST_REGISTERED", 3)
+    monkeypatch.setattr(n, "MOST_NAMES", 7)
+    got = {(r["name"], r["facility_id"]) for r in n.close_pairs(spark.createDataFrame([(x,) for x in typed], "name string"), registered).collect()}
+    assert {p for p in got if p[0] in set(typed)} <= want and len(want - got) <= 0.01 * len(want)
+
+
 def test_blocks_hold_slips_in_two_words():
     pairs = [("Biuleby Waermill Centre", "Birleby Watermill Centre"), ("F. InvernessC ollection", "Frederick Inverness Collection"), ("L. Drumdale Gardens", "Drumdale Gadens (Leonard)"), ("Kelpieholm", "Kepielolm"),
              ("一般財団法人人鶴浜峠民芸温泉旅館", "鶴浜峠民芸温泉旅館")]
