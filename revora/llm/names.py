@@ -380,57 +380,69 @@ def near(a: str, b: str, known: dict[int, int] | None = None) -> float | None:
 
 #: Registered names, and names, of one block that are compared in one piece; blocks with more are split, and the pieces met with each other.
 MOST_REGISTERED, MOST_NAMES = 1000, 20_000
+#: Pairs that are tested at once.
+PAIRS = 300_000
 #: Slips that names may have between them, each of which brings one letter that the other name lacks at most.
 MOST_SLIPS = 3
 
 
-class Shape:
-    """A name made ready for comparison, with bounds that arrays of names can be tested by."""
-
-    __slots__ = ("japanese", "form", "core", "bag", "open", "own", "forms")
-
-    def __init__(self, name: str) -> None:
-        self.japanese = is_japanese(name)
-        self.core, self.bag, self.open = np.zeros(36, np.int16), np.zeros(36, np.int16), False
-        self.own, self.forms = 0, (0, 0)
-        if self.japanese:
-            self.form: object = japanese(name)
+class Shapes:
+    """Names made ready for comparison, with arrays by which many pairs are tested at once."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.names: list[str] = []
+        self.forms: list[object] = []
+        self._room(1024)
+
+    def _room(self, n: int) -> None:
+        """Space for n names: letters of the core and of the whole, whether tokens stand for longer ones, characters and those of two forms."""
+        old, k = (self._arrays, len(self.names)) if self.names else (None, 0)
+        self._arrays = [np.zeros((n, 36), np.int8), np.zeros((n, 36), np.int8), np.zeros(n, bool), np.zeros(n, bool), np.zeros((n, 3), np.int64)]
+        if old:
+            for new, x in zip(self._arrays, old):
+                new[:k] = x[:k]
+
+    def add(self, name: str) -> int:
+        if name in self.place:
+            return self.place[name]
+        i = self.place[name] = len(self.names)
+        if i == len(self._arrays[0]):
+            self._room(2 * i)
+        core, bag, open_, written, masks = self._arrays
+        if is_japanese(name):
+            form: object = japanese(name)
             mask = lambda cs: sum({1 << (ord(c) % 61) for c in cs})
-            self.own = mask(self.form)
-            self.forms = (mask(set(self.form) - FILLERS), mask(set(full_kinds(self.form)) - FILLERS))
+            written[i] = True
+            masks[i] = mask(form), mask(set(form) - FILLERS), mask(set(full_kinds(form)) - FILLERS)
         else:
-            self.form = latin(name)
-            for t, cut, aside in self.form:
-                at = np.array([int(c, 36) for c in t])
-                np.add.at(self.bag, at, 1)
+            form = latin(name)
+            whole, kept = np.zeros(36, np.int64), np.zeros(36, np.int64)
+            for t, cut, aside in form:
+                at = np.bincount([int(c, 36) for c in t], minlength=36)
+                whole += at
                 if len(t) > 2 and not aside:
-                    np.add.at(self.core, at, 1)
-                self.open |= cut or len(t) <= 2  # may stand for a longer token
-
-
-def may_be_near(left: list[Shape], right: list[Shape]) -> np.ndarray:
-    """(left x right) False where :func:`near` can't accept the pair: each has letters the other lacks, more than slips explain."""
-    column = lambda names, k: np.stack([getattr(n, k) for n in names])
-    japanese = np.array([n.japanese for n in left])[:, None] & np.array([n.japanese for n in right])
-    latin_ = ~np.array([n.japanese for n in left])[:, None] & ~np.array([n.japanese for n in right])
-    out = np.zeros(latin_.shape, dtype=bool)
-    if latin_.any():
-        out = latin_.copy()
-        for core, bag, open_, swap in ((column(left, "core"), column(right, "bag"), [n.open for n in right], False), (column(right, "core"), column(left, "bag"), [n.open for n in left], True)):
-            over = np.zeros((len(core), len(bag)), np.int16)
-            for k in np.flatnonzero(core.any(axis=0)):  # a letter at a time keeps the arrays small
-                over += np.maximum(core[:, k, None] - bag[:, k], 0)
-            near_ = (over <= MOST_SLIPS) | np.array(open_)
-            out &= near_.T if swap else near_
-    if japanese.any():
-        own_l, own_r = (np.array([n.own for n in x], np.int64) for x in (left, right))
-        fits = np.zeros_like(japanese)
-        for i in (0, 1):
-            form_l, form_r = (np.array([n.forms[i] for n in x], np.int64) for x in (left, right))
-            fits |= (form_r & ~own_l[:, None]) == 0
-            fits |= (form_l[:, None] & ~own_r) == 0
-        out |= japanese & fits
-    return out
+                    kept += at
+                open_[i] |= cut or len(t) <= 2  # may stand for a longer token
+            core[i], bag[i] = np.minimum(kept, 127), np.minimum(whole, 127)
+        self.names.append(name)
+        self.forms.append(form)
+        return i
+
+    def may_be_near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """False where :func:`near` can't accept a pair: each has letters the other lacks, more than slips explain."""
+        core, bag, open_, written, masks = self._arrays
+        over = lambda a, b: np.maximum(core[a] - bag[b], 0).sum(axis=1)
+        out = ~written[i] & ~written[j]
+        out[out] &= (over(i[out], j[out]) <= MOST_SLIPS) | open_[j[out]]
+        out[out] &= (over(j[out], i[out]) <= MOST_SLIPS) | open_[i[out]]
+        both = written[i] & written[j]
+        a, b = masks[i[both]], masks[j[both]]
+        fits = np.zeros(len(a), dtype=bool)
+        for k in (1, 2):
+            fits |= ((b[:, k] & ~a[:, 0]) == 0) | ((a[:, k] & ~b[:, 0]) == 0)
+        out[both] = fits
+        return out
 
 
 def _with_blocks(names: DataFrame) -> DataFrame:
@@ -492,49 +504,50 @@ def close_pairs(names: DataFrame, registered: DataFrame) -> DataFrame:
     pieces = pieces.repartition("block", "at", "bt").sortWithinPartitions("block", "at", "bt", "side")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shapes: dict[str, Shape] = {}
-        tokens: dict[tuple, float | None] = {}
-        done: dict[tuple[str, str], float | None] = {}
-        words = known.value
-
-        def shape(n: str) -> Shape:
-            if n not in shapes:
-                if len(shapes) > 200_000:
-                    shapes.clear()
-                shapes[n] = Shape(n)
-            return shapes[n]
-
-        def compare(left: list[str], right: list[str], rows: list) -> None:
-            a, b = [shape(n) for n in left], [shape(n) for n in right]
-            for c in range(0, len(a), 2000):
-                for i, j in zip(*(x.tolist() for x in np.nonzero(may_be_near(a[c : c + 2000], b)))):
-                    pair = left[c + i], right[j]
-                    if pair not in done:
-                        if len(tokens) > 500_000:
-                            tokens.clear()
-                        if len(done) > 500_000:
-                            done.clear()
-                        x, y = a[c + i], b[j]
-                        slips = near_japanese(x.form, y.form) if x.japanese else near_latin(x.form, y.form, words, tokens)
-                        done[pair] = slips
-                        if slips is not None:
-                            rows.append((*pair, slips))
-
-        key, right = None, []
+        shapes, tokens, words = Shapes(), {}, known.value
+        done: set[int] = set()
+
+        def compare(pairs: list[tuple[np.ndarray, np.ndarray]], rows: list) -> None:
+            code = np.unique(np.concatenate([i << 32 | j for i, j in pairs]))
+            i, j = code >> 32, code & 0xFFFFFFFF
+            for c in range(0, len(code), PAIRS):
+                may = shapes.may_be_near(i[c : c + PAIRS], j[c : c + PAIRS])
+                for pair in code[c : c + PAIRS][may].tolist():
+                    if pair in done:
+                        continue
+                    done.add(pair)
+                    a, b = pair >> 32, pair & 0xFFFFFFFF
+                    x, y = shapes.forms[a], shapes.forms[b]
+                    slips = near_japanese(x, y) if isinstance(x, str) else near_latin(x, y, words, tokens)
+                    if slips is not None:
+                        rows.append((shapes.names[a], shapes.names[b], slips))
+
+        key, right, held = None, np.empty(0, np.int64), []
         for batch in batches:
             rows: list[tuple[str, str, float]] = []
+            if len(shapes.names) > 200_000 or len(done) > 2_000_000 or len(tokens) > 500_000:
+                held = [shapes.names[k] for k in right.tolist()]
+                shapes, tokens, done = Shapes(), {}, set()
+                right = np.array([shapes.add(n) for n in held], np.int64)
             keys = batch[["block", "at", "bt", "side"]].to_numpy()
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            listed = batch["name"].tolist()
-            for first, last in zip(cuts, cuts[1:]):
-                if first == last:
-                    continue
-                own_key, side, part = tuple(keys[first, :3]), keys[first, 3], listed[first:last]
-                if side == 0:
-                    right = right + part if own_key == key else part
-                    key = own_key
-                elif own_key == key:
-                    compare(part, right, rows)
+            places = np.array([shapes.add(n) for n in batch["name"].tolist()], np.int64)
+            heads, pairs, size = [tuple(k) for k in keys[cuts[:-1]].tolist()] if len(keys) else [], [], 0
+            for head, first, last in zip(heads, cuts, cuts[1:]):
+                part = places[first:last]
+                if head[3] == 0:
+                    right = np.concatenate([right, part]) if head[:3] == key else part
+                    key = head[:3]
+                elif head[:3] == key:
+                    for c in range(0, len(part), max(1, PAIRS // len(right))):
+                        some = part[c : c + max(1, PAIRS // len(right))]
+                        pairs.append((np.repeat(some, len(right)), np.tile(right, len(some))))
+                        size += len(some) * len(right)
+                        if size >= PAIRS:
+                            compare(pairs, rows)
+                            pairs, size = [], 0
+            if pairs:
+                compare(pairs, rows)
             yield pd.DataFrame(rows, columns=["name", "other", "slips"])
 
     same = own.select("name", F.col("name").alias("other"), F.lit(0.0).alias("slips"))  # needs no block

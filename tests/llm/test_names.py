@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from revora.llm import names as n
@@ -79,8 +80,9 @@ def test_bounds_rule_out_no_accepted_pair(folder, spark):
                 x = x[:i] + (x[i + 1 : i + 2] + x[i : i + 1], "", x[i : i + 1] * 2, rng.choice("eaノ"))[how] + x[i + (2 if how == 0 else 1) :]
             slipped.append(x)
     left = [x for x in names + typed + slipped if x.strip()]
-    shapes = [n.Shape(x) for x in left]
-    may = n.may_be_near(shapes, shapes[: len(names) + 60])
+    shapes = n.Shapes()
+    places = np.array([shapes.add(x) for x in left])
+    may = np.stack([shapes.may_be_near(places, np.full(len(left), k)) for k in places[: len(names) + 60]], axis=1)
     accepted = [(i, j) for i in range(len(left)) for j in range(len(names) + 60) if n.near(left[i], left[j]) is not None or n.near(left[i], left[j], {}) is not None]
     assert len(accepted) > 300 and all(may[i, j] for i, j in accepted)
     assert may.mean() < 0.2
