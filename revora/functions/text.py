@@ -4,13 +4,15 @@ The three ways to split sentences differ on purpose: topics use every piece,
 remarks only pieces of a readable length, experience pieces of three
 characters or more.  Tokens are runs of one script (Latin letters with their accents) of two characters or more,
 hiragana left out as it carries endings; a morphological tokenizer can take its
-place, as all operators take arrays of tokens.
+place by :func:`use_tokenizer`, as all operators take arrays of tokens.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .hooks import Tokenizer, tokenized
+
 TOPIC_SPLIT = "[。！？!?\\n]+"
 PLAIN_SPLIT = "[。！？\\n]+"
 SPACES = "[ \\t\\r\\n\\f\\x0B　]"
@@ -34,7 +36,17 @@ def topic_sentences_sql(text: str) -> str:
     return f"list_filter(list_transform(regexp_split_to_array({text}, '[。！？!?\\n]+'), lambda s: {trimmed_sql('s')}), lambda s: s <> '')"
 
 
+_TOKENIZER: list[Tokenizer] = []
+
+
+def use_tokenizer(tokenizer: Tokenizer | None) -> None:
+    """Put a tokenizer in the place of the built-in expression, for all operators; None takes it out again."""
+    _TOKENIZER[:] = [tokenizer] if tokenizer else []
+
+
 def tokens(text: Column) -> Column:
+    if _TOKENIZER:
+        return tokenized(_TOKENIZER[0], text)
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 

@@ -12,9 +12,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import fixed
 
-#: The prefectures at which a place's address is cut from its name, and the mark of a substitute id.
+#: The mark of a substitute id, and the prefectures at which a place's address is cut from its name.
 SUBSTITUTE = "h:"
-PREFECTURE = r"^(.+?)[ 　,、]*(?:\S{2,3}[都道府県])"
+PREFECTURES = (
+    "北海道", "青森県", "岩手県", "宮城県", "秋田県", "山形県", "福島県", "茨城県", "栃木県", "群馬県", "埼玉県", "千葉県", "東京都", "神奈川県", "新潟県", "富山県",
+    "石川県", "福井県", "山梨県", "長野県", "岐阜県", "静岡県", "愛知県", "三重県", "滋賀県", "京都府", "大阪府", "兵庫県", "奈良県", "和歌山県", "鳥取県", "島根県",
+    "岡山県", "広島県", "山口県", "徳島県", "香川県", "愛媛県", "高知県", "福岡県", "佐賀県", "長崎県", "熊本県", "大分県", "宮崎県", "鹿児島県", "沖縄県",
+)
 
 
 def first_filled(*columns: Column) -> Column:
@@ -32,15 +36,32 @@ def whole(text: Column) -> Column:
 
 
 def name_in_url(url: Column) -> Column:
-    """The place a search link asks for, cut at its first space."""
-    query = F.try_url_decode(F.regexp_extract(url, r"[?&]query=([^&#]*)", 1))
-    return F.regexp_extract(query, "^[ 　]*([^ 　]*)", 1)
+    """The place a search link asks for, cut at the first prefecture after its beginning, else at its first space."""
+    query = F.regexp_replace(F.try_url_decode(F.regexp_extract(url, r"[?&]query=([^&#]*)", 1)), "^[ 　]+|[ 　]+$", "")
+    before = F.regexp_extract(query, f"^(.+?)[ 　,、]*(?:{'|'.join(PREFECTURES)})", 1)
+    return F.coalesce(F.nullif(before, F.lit("")), F.regexp_extract(query, "^([^ 　]*)", 1))
+
+
+def url_in_input(cell: Column) -> Column:
+    """The link of an ``input`` cell, a record in Python or JSON notation; empty where there is none or the record is cut off."""
+    return F.regexp_extract(cell, r"""(?s)^\s*\{.*?['"]url['"]\s*:\s*['"]([^'"]*)['"].*\}\s*$""", 1)
+
+
+def map_link(cell: Column) -> dict[str, Column]:
+    """What a map link tells of its place: name, coordinates, ids; empty or null where it tells nothing."""
+    part = lambda p: F.regexp_extract(cell, p, 1)
+    some = lambda a, b: F.nullif(F.coalesce(F.nullif(part(a), F.lit("")), part(b)), F.lit("")).try_cast("double")
+    n = "-?[0-9]+[.]?[0-9]*"
+    return {
+        "name": part("/maps/place/([^/@?]+)"), "lat": some(f"!8m2!3d({n})!4d", f"/@({n}),-?[0-9]"), "lng": some(f"!8m2!3d{n}!4d({n})", f"/@{n},({n})"),
+        "fid": part("(0x[0-9a-f]+:0x[0-9a-f]+)"), "mid": part("!16s([^!?&]+)"), "place_id": part("place_id:([A-Za-z0-9_-]+)"), "short": cell.rlike("^https?://([a-z.]*[.])?goo[.]gl/"),
+    }
 
 
 def records(export: DataFrame) -> DataFrame:
     """An export's rows as reviews: rows of failed scrapes, and with neither text nor rating, are left out."""
     c = lambda n: F.coalesce(n, F.lit(""))
-    name = first_filled(F.col("place_name"), name_in_url(c("url")))
+    name = first_filled(F.col("place_name"), name_in_url(first_filled(url_in_input(c("input")), F.col("url"))))
     key = first_filled(F.col("place_id"), F.col("cid"), name, F.lit("(unknown)"))
     rows = export.filter((c("error") == "") & (c("error_code") == "")).filter((c("review") != "") | (c("review_rating") != ""))
     return rows.select(

@@ -195,10 +195,12 @@ QUERIES = {f.__name__: f for f in (
 
 _num = lambda c: f"(CASE WHEN regexp_matches(trim({c}, ' '), '^[+-]?(\\d+\\.?\\d*|\\.\\d+)$') THEN try_cast(trim({c}, ' ') AS DOUBLE) END)"
 _whole = lambda c: f"CAST(trunc({_num(c)}) AS BIGINT)"
-_urlname = lambda u: f"regexp_extract(url_decode(regexp_extract({u}, '[?&]query=([^&#]*)', 1)), '^[ 　]*([^ 　]*)', 1)"
+_query = lambda u: f"regexp_replace(url_decode(regexp_extract({u}, '[?&]query=([^&#]*)', 1)), '^[ 　]+|[ 　]+$', '', 'g')"
+_urlname = lambda u: f"coalesce(nullif(regexp_extract({_query(u)}, '^(.+?)[ 　,、]*(?:{'|'.join(ingest.PREFECTURES)})', 1), ''), regexp_extract({_query(u)}, '^([^ 　]*)', 1))"
+_INPUT_URL = """nullif(regexp_extract(coalesce(input, ''), '(?s)^\\s*\\{.*?[''"]url[''"]\\s*:\\s*[''"]([^''"]*)[''"].*\\}\\s*$', 1), '')"""
 _RECORDS = f"""(SELECT row_no, coalesce(nullif(place_id, ''), nullif(cid, ''), nullif(fname, ''), '(unknown)') AS facility_key, fname AS facility_name, coalesce(review, '') AS text, coalesce(review_date, '') AS review_date, coalesce(reviewer_name, '') AS reviewer_name,
     {_num("review_rating")} AS rating, CAST(lower(coalesce(local_guide, '')) IN ('true', '1', 'yes') AS INT) AS local_guide, {_whole("number_of_likes")} AS likes, {_num("place_general_rating")} AS general_rating, {_whole("overall_place_riviews")} AS total_reviews, coalesce(category, '') AS category
-    FROM (SELECT *, coalesce(nullif(place_name, ''), nullif({_urlname("coalesce(url, '')")}, ''), '') AS fname FROM sample_reviews
+    FROM (SELECT *, coalesce(nullif(place_name, ''), nullif({_urlname(f"coalesce({_INPUT_URL}, url, '')")}, ''), '') AS fname FROM sample_reviews
         WHERE coalesce(error, '') = '' AND coalesce(error_code, '') = '' AND (coalesce(review, '') <> '' OR coalesce(review_rating, '') <> '')))"""
 _FACILITIES = f"""(SELECT a.facility_key, coalesce(b.name, '(unknown)') AS name, n, stars, rated, general_rating, total_reviews, category FROM (
     SELECT facility_key, count(*) AS n, sum(rating) AS stars, count(rating) AS rated, arg_min(general_rating, row_no) FILTER (general_rating IS NOT NULL) AS general_rating,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import comparison, ingest, problems, ratings, reports, selection, texts, topics
+from . import comparison, ingest, problems, ratings, reports, scope, selection, texts, topics
 
-_MODULES = (problems, ratings, comparison, texts, topics, selection, ingest, reports)
+_MODULES = (problems, ratings, comparison, texts, topics, selection, ingest, reports, scope)
 
 
 def queries() -> dict:

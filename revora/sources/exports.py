@@ -2,7 +2,7 @@
 
 An export may be UTF-8 (with or without a byte order mark) or CP932, separated
 by tabs or commas, with line breaks inside quoted fields.  The encoding and the
-separator are told from the head of the files, the columns are all text, and
+separator of each file are told from all of its bytes, the columns are all text, and
 empty cells are empty strings.  A score sheet is wide (a column for each
 metric) or long (entity, metric, value); its roles are inferred from shares of
 numeric cells, made in one aggregation.
@@ -27,52 +27,79 @@ AXIS_HINTS = ("指標", "項目", "軸", "axis", "metric", "item")
 VALUE_HINTS = ("値", "スコア", "点数", "得点", "value", "score")
 SCALES = (5.0, 10.0, 100.0)
 NUMERIC_SHARE = 0.6
-HEAD_BYTES = 65_536
 
 
-def sniff(head: bytes) -> tuple[str, str]:
-    """(encoding, separator) of a file, from its first bytes."""
+def sniff(content: bytes) -> tuple[str, str]:
+    """(encoding, separator) of a file, from all of its bytes: UTF-8 if they are that throughout, else CP932 if they are, else UTF-8."""
     encoding = "UTF-8"
-    if not head.startswith(codecs.BOM_UTF8):
+    if not content.startswith(codecs.BOM_UTF8):
         for name, label in (("utf-8", "UTF-8"), ("cp932", "CP932")):
-            decoder = codecs.getincrementaldecoder(name)()
             try:
-                decoder.decode(head)  # a character cut off at the end is no error
+                content.decode(name)
                 encoding = label
                 break
             except UnicodeDecodeError:
                 continue
-    first = head.decode("cp932" if encoding != "UTF-8" else "utf-8", "replace").lstrip("﻿").split("\n", 1)[0]
+    first = content.split(b"\n", 1)[0].decode("cp932" if encoding != "UTF-8" else "utf-8", "replace").lstrip("﻿")
     return encoding, "\t" if first.count("\t") >= first.count(",") and "\t" in first else ","
 
 
+def _notations(spark: SparkSession, path: str) -> list[tuple[str, str, str]]:
+    """(file, encoding, separator) of every file of a path, each told by one task from the whole file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(p, *sniff(bytes(c))) for p, c in zip(b["path"], b["content"])], columns=["path", "encoding", "separator"])
+
+    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, encoding string, separator string")
+    return [tuple(r) for r in found.orderBy("path").collect()]  # a row for each file
+
+
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """All files of an export as text columns; one notation for all files of the path."""
-    files = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD_BYTES).alias("head")).limit(1).collect()
-    if not files:
+    """All files of an export as text columns, each file in its own notation; columns that a file lacks are empty."""
+    kinds: dict[tuple[str, str], list[str]] = {}
+    for file, encoding, separator in _notations(spark, path):
+        kinds.setdefault((encoding, separator), []).append(file)
+    parts = []
+    for (encoding, separator), files in sorted(kinds.items()):
+        if encoding == "UTF-8":
+            df = spark.read.option("multiLine", True).option("escape", '"').option("quote", '"').csv(files, sep=separator, header=True, encoding=encoding, inferSchema=False, ignoreLeadingWhiteSpace=False)
+            parts.append(df.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.lstrip("﻿").strip()) for c in df.columns)))
+        else:
+            parts.append(_read_encoded(spark, files, separator))
+    if not parts:
+        return spark.createDataFrame([], "row string")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.na.fill("") if len(parts) > 1 else out
+
+
+def _read_encoded(spark: SparkSession, files: list[str], separator: str) -> DataFrame:
+    """Files in CP932, which the CSV reader doesn't know: one task decodes and parses each file, as such files can't be split anyway."""
+
+    def parsed(content: bytes) -> list[list[str]]:
+        return list(csv.reader(io.StringIO(bytes(content).decode("cp932", "replace"), newline=""), delimiter=separator))
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(c.strip(),) for content in b["content"] for c in next(iter(parsed(content)), [])], columns=["c"])
+
+    held = spark.read.format("binaryFile").load(files).select("content")
+    columns = [r["c"] for r in held.mapInPandas(heads, "c string").distinct().orderBy("c").collect() if r["c"]]
+    if not columns:
         return spark.createDataFrame([], "row string")
-    head = bytes(files[0]["head"])
-    encoding, separator = sniff(head)
-    if encoding != "UTF-8":
-        return _read_encoded(spark, path, head, separator)
-    df = spark.read.option("multiLine", True).option("escape", '"').option("quote", '"').csv(path, sep=separator, header=True, encoding=encoding, inferSchema=False, ignoreLeadingWhiteSpace=False)
-    clean = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.lstrip("﻿").strip()) for c in df.columns]
-    return df.select(*clean)
-
-
-def _read_encoded(spark: SparkSession, path: str, head: bytes, separator: str) -> DataFrame:
-    """An export in CP932, which the CSV reader doesn't know: one task decodes and parses each file, as such files can't be split anyway."""
-    columns = [c.strip() for c in next(csv.reader([head.decode("cp932", "replace").split("\n", 1)[0].rstrip("\r")], delimiter=separator))]
     schema = ", ".join(f"`{c}` string" for c in columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for content in b["content"]:
-                rows = csv.reader(io.StringIO(bytes(content).decode("cp932", "replace"), newline=""), delimiter=separator)
-                next(rows, None)
-                yield pd.DataFrame([(r + [""] * len(columns))[: len(columns)] for r in rows if r], columns=columns)
+                head, *rows = parsed(content) or [[]]
+                head = [c.strip() for c in head]
+                frame = pd.DataFrame([(r + [""] * len(head))[: len(head)] for r in rows if r], columns=head)
+                yield frame.reindex(columns=columns, fill_value="")
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+    return held.mapInPandas(run, schema)
 
 
 def _number(c: Column) -> Column:

@@ -1,8 +1,10 @@
 """A source that delivers records page by page, as a Spark data source with a high-water mark.
 
 It stands for a vendor's paged interface, with a folder of JSON-lines pages in
-its place: each page is read by one task, and a stream's offset is the number
-of pages taken, so a page is delivered once however often a batch is run.
+its place: each page is read by one task, and a stream's offset counts the
+entries of a log of pages in the order in which they were seen, kept beside
+them, so a page is delivered once however often a batch is run and however late
+it comes.  The folder must be one that driver and executors share.
 Records published before ``since`` are left out at the source.
 """
 
@@ -22,6 +24,17 @@ def _pages(folder: str) -> list[str]:
     return sorted(os.path.join(folder, f) for f in os.listdir(folder) if f.endswith(".jsonl")) if os.path.isdir(folder) else []
 
 
+def _seen(folder: str) -> list[str]:
+    """The log of pages in the order in which they were seen, with those that are new written at its end."""
+    log = os.path.join(folder, "_seen")
+    known = open(log, encoding="utf-8").read().splitlines() if os.path.exists(log) else []
+    new = sorted(set(map(os.path.basename, _pages(folder))) - set(known))
+    if new:
+        with open(log, "a", encoding="utf-8") as out:
+            out.write("".join(f"{n}\n" for n in new))
+    return [os.path.join(folder, n) for n in known + new]
+
+
 class _Page(InputPartition):
     def __init__(self, path: str) -> None:
         self.path = path
@@ -55,10 +68,10 @@ class _StreamReader(DataSourceStreamReader):
         return {"pages": 0}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        return {"pages": len(_pages(self.folder))}
+        return {"pages": len(_seen(self.folder))}
 
     def partitions(self, start: dict, end: dict) -> list[_Page]:
-        return [_Page(p) for p in _pages(self.folder)[start["pages"] : end["pages"]]]
+        return [_Page(p) for p in _seen(self.folder)[start["pages"] : end["pages"]]]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
         return _records(partition, self.since)

@@ -24,6 +24,17 @@ def test_notations(spark, tmp_path):
         assert df.columns == HEAD and sorted(map(list, df.collect())) == sorted(ROWS), name
 
 
+def test_every_file_in_its_own_notation(spark, tmp_path):
+    head = "place_name\treview\treview_rating\n"
+    (tmp_path / "a.csv").write_bytes((head + "x\tplain\t5\n" * 9000 + "海の館\tよい\t4\n").encode("cp932"))  # ASCII for more than 64 KB
+    (tmp_path / "b.csv").write_bytes("review,place_name\nよい,山の館\n".encode())
+    (tmp_path / "c.csv").write_bytes("place_name\tcountry\n川の館\tJP\n".encode("cp932"))
+    got = exports.read_export(spark, str(tmp_path))
+    assert set(got.columns) == {"place_name", "review", "review_rating", "country"}
+    found = {(r["place_name"], r["review"], r["review_rating"], r["country"]) for r in got.filter("place_name <> 'x'").collect()}
+    assert found == {("海の館", "よい", "4", ""), ("山の館", "よい", "", ""), ("川の館", "", "", "JP")} and got.count() == 9003
+
+
 def test_sheets(spark):
     wide = spark.createDataFrame([("海の館", "4.2", "80", ""), ("山の館", "3.8", "n/a", "x")], ["施設名", "清潔感", "食事", "備考"])
     roles = exports.sheet_roles(wide)
@@ -52,8 +63,12 @@ def test_sync_is_incremental_and_idempotent(spark, tmp_path):
     loaded, ledger, _ = sync.sync(stream(), held, folder)
     assert sorted(r["review_id"] for r in loaded.collect()) == ["r2", "r3"]
     assert {r["month"]: r["n"] for r in ledger.collect()} == {"2024-01": 3, "2024-02": 2}
+    _page(tmp_path, 0, [record(4, 3)])  # comes late, with a smaller name
+    loaded, ledger, _ = sync.sync(stream(), held, folder)
+    assert sorted(r["review_id"] for r in loaded.collect()) == ["r2", "r3", "r4"]
+    assert {r["month"]: r["n"] for r in ledger.collect()} == {"2024-01": 3, "2024-02": 2, "2024-03": 1}
     loaded, ledger, _ = sync.sync(stream(), held, folder)
-    assert loaded.count() == 2 and sum(r["n"] for r in ledger.collect()) == 5
+    assert loaded.count() == 3 and sum(r["n"] for r in ledger.collect()) == 6
 
 
 def test_stream_counts_equal_batch(spark, folder):
