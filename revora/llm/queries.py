@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import spread
 from ..sources.tables import table
-from . import fusion, leak, mojibake, names, stuffing, tokenize
+from . import fusion, leak, mojibake, names, stuffing, survivor, tokenize
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,4 +76,27 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p5_found, p6_found, p6_restored, p7_found, p7_fused, p8_ids, p9_found, p9_shares, p10_found, p10_shares)}
 
-SQL: dict[str, str] = {}
+_SPACES = survivor.SPACE.replace("'", "''")
+_strip = lambda c: f"trim({c}, '{_SPACES}')"
+_DAY = r"'^\s*([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})($|[^0-9])'"
+_day = lambda i: f"lpad(regexp_extract(review_date, {_DAY}, {i}), 2, '0')"
+
+SQL: dict[str, str] = {
+    "p7_found": f"""
+        WITH RECURSIVE k AS (
+            SELECT *, vid IS NOT NULL AND vid <> '' AND NOT starts_with(vid, 'h:') AS real FROM (SELECT id, facility_id, text, owner_response, likes, fetched_at, reviewer_name, {_strip('review_id')} AS vid,
+                CASE WHEN regexp_matches(review_date, {_DAY}) THEN regexp_extract(review_date, {_DAY}, 1) || '-' || {_day(2)} || '-' || {_day(3)} END AS day FROM review)),
+        p AS (SELECT *, coalesce(v, c) AS part FROM (SELECT *, CASE WHEN real AND facility_id IS NOT NULL THEN 'v' || facility_id || chr(31) || vid END AS v,
+            CASE WHEN facility_id IS NOT NULL AND {_strip('reviewer_name')} <> '' AND day IS NOT NULL AND {_strip('text')} <> '' THEN 'c' || concat_ws(chr(31), facility_id::VARCHAR, reviewer_name, day, text) END AS c FROM k)
+            WHERE coalesce(v, c) IS NOT NULL),
+        one AS (SELECT DISTINCT a.part AS x, b.part AS y FROM p a JOIN p b ON a.v IS NOT NULL AND a.c = b.part),
+        edges AS (SELECT x, y FROM one UNION SELECT y, x FROM one),
+        reach AS (SELECT x AS part, x AS other FROM edges UNION SELECT e.y, r.other FROM reach r JOIN edges e ON e.x = r.part),
+        roots AS (SELECT part, min(other) AS root FROM reach GROUP BY 1),
+        g AS (SELECT p.*, min(id) OVER w AS first_id, count(*) OVER w AS n FROM p LEFT JOIN roots USING (part) WINDOW w AS (PARTITION BY coalesce(root, part))),
+        f AS (SELECT first_id, 'review_id' AS field, id, 0 AS a, fetched_at FROM g WHERE n >= 2 AND real
+            UNION ALL SELECT first_id, 'text', id, length({_strip('text')}), fetched_at FROM g WHERE n >= 2 AND {_strip('text')} <> ''
+            UNION ALL SELECT first_id, 'owner_response', id, 0, fetched_at FROM g WHERE n >= 2 AND {_strip('owner_response')} <> ''
+            UNION ALL SELECT first_id, 'likes', id, 0, fetched_at FROM g WHERE n >= 2 AND likes IS NOT NULL)
+        SELECT first_id, field, id AS keep_id FROM f QUALIFY row_number() OVER (PARTITION BY first_id, field ORDER BY a DESC, fetched_at DESC NULLS LAST, id) = 1""",
+}

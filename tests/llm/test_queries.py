@@ -28,3 +28,10 @@ def test_nothing_else_imports_the_subpackage():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"^\s*(from|import) [\w.]*llm", p.read_text(), re.M), p
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_same_rows_as_sql(spark, folder, name):
+    from tests.oracle import connection, difference
+
+    assert difference(queries.QUERIES[name](spark, folder).toPandas(), connection(folder), queries.SQL[name]) is None
