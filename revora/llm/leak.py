@@ -299,7 +299,8 @@ class Index:
             if place.all():
                 continue
             allowed = int(EDITS * len(pattern))
-            if len(pattern) - int(place.sum()) <= allowed or self._stands(text, sentence, spots, allowed):
+            # what stretches left out of a sentence of which they hold most is missing
+            if len(pattern) - int(place.sum()) > allowed and self._stands(text, sentence, spots, allowed):
                 place[:] = True
         for sentence in self.short[item]:
             a, pattern = self.begin[sentence], self.sentences[sentence][1]
