@@ -135,7 +135,7 @@ def prototype_membership(spark: SparkSession, folder: str) -> DataFrame:
 def absorb_noise(spark: SparkSession, folder: str) -> DataFrame:
     """Every tenth vector taken as noise and absorbed again."""
     u = _units(spark, folder).withColumn("label", F.when(F.col("vec_id") % 10 == 0, -1).otherwise(F.col("label")))
-    return vectors.absorb(u, 64, near=0.35, join=0.40).withColumnRenamed("to", "label")
+    return vectors.absorb(u, 64).withColumnRenamed("to", "label")
 
 
 def hdbscan_labels(spark: SparkSession, folder: str) -> DataFrame:
