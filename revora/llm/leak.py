@@ -47,6 +47,8 @@ TABLES = WALKS * DRAWS
 EDITS, COVERAGE = 0.22, 0.38
 #: Least length of a stretch, as a multiple of a window, and its largest share of edits; weight of an edit against a match, and the loss at which following ends.
 STRETCH, STRETCH_EDITS, EDIT_WEIGHT, DROP = 1.5, 0.16, 3, 8
+#: Share of a sentence that stretches may leave out of it at edits near its ends.
+ENDS = 0.12
 #: Largest gap, in either text, between stretches that are one, such as an edited word.
 GAP = 16
 #: Least length of a short sentence that counts unchanged, for written (CJK) and for other characters.
@@ -299,8 +301,9 @@ class Index:
             if place.all():
                 continue
             allowed = int(EDITS * len(pattern))
-            # what stretches left out of a sentence of which they hold most is missing
-            if len(pattern) - int(place.sum()) > allowed and self._stands(text, sentence, spots, allowed):
+            # a little that stretches left out of a sentence is edited, more than that, and not more than edits, is missing
+            left = len(pattern) - int(place.sum())
+            if left <= ENDS * len(pattern) or left > allowed and self._stands(text, sentence, spots, allowed):
                 place[:] = True
         for sentence in self.short[item]:
             a, pattern = self.begin[sentence], self.sentences[sentence][1]
