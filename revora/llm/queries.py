@@ -66,8 +66,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
     """The share of words in prose, link lists, tag lists and menus, of every page with words."""
-    pages = table(spark, folder, "documents").select("doc_id", "text")
-    return stuffing.page_shares(spread(pages), stuffing.fit(pages))
+    return stuffing.fitted_shares(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -112,3 +112,37 @@ def test_query(spark, folder):
     shares = queries.p10_shares(spark, folder)
     assert all(abs(r["prose"] + r["links"] + r["tags"] + r["menu"] - 1) < 1e-9 for r in shares.collect())
     assert queries.p10_found(spark, folder).columns == ["doc_id"]
+
+
+def _apart(a, b):
+    return max(abs(np.exp(x) - np.exp(y)).max() for x, y in zip([*a.emission, a.first, a.step], [*b.emission, b.first, b.step]))
+
+
+def test_fit_uses_every_page_whole(spark):
+    """More pages than a sample would hold, one of them long: the same model as from all of them in memory."""
+    texts = [f"{PROSE} Room {i}." if i % 40 else f"Place{i} > free parking > spa {i}" for i in range(2000)] + ["\n".join(f"{JA}{i}" for i in range(1500)), " \n", None]
+    fitted = s.fit(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
+    whole = s.Model.train([t for t in texts if t])
+    assert _apart(fitted, whole) < 1e-6 and _apart(s.Model.train(texts[:1500]), whole) > 1e-4
+
+
+def test_fit_counts_copies_once(spark):
+    texts = [PROSE, JA, SPAM["links"], SPAM["menu"]]
+    copied = spark.createDataFrame([(t,) for t in texts + [SPAM["menu"]] * 50 + [None, ""]], "text string")
+    assert _apart(s.fit(copied), s.Model.train(texts)) < 1e-6
+    assert _apart(s.fit(copied.limit(0)), s.Model.prior()) < 1e-12
+
+
+def test_table_keeps_its_weight_on_more_pages():
+    some = [*HONEST.values()] * 1000 + [*SPAM.values()] * 100
+    assert sum(len(s.lines_of(t)) for t in some) > 24_000
+    assert _apart(s.Model.train(some), s.Model.train(some * 4)) < 1e-6
+
+
+def test_fitted_shares_are_those_of_the_fitted_model(spark):
+    rows = [(i, t) for i, t in enumerate([*HONEST.values(), *SPAM.values(), None, "", "123 456"])] + [(None, SPAM["links"]), (2**60 + 1, PROSE)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(s.fitted_shares(df).collect(), key=str)
+    want = sorted(s.page_shares(df, s.fit(df)).collect(), key=str)
+    assert got == want and 2**60 + 1 in {r["doc_id"] for r in got}
+    assert s.fitted_shares(df.limit(0)).collect() == []
