@@ -59,8 +59,9 @@ FUNCTION_WORDS = frozenset(
 _URL = re.compile(r"(?:https?://|www\.)\S+|<a\s[^>]*>|</a>|\b[\w-]+(?:\.[\w-]+)*\.(?:com|net|org|jp|test|example|invalid|info|biz|io|co)\b(?:/\S*)?", re.I)
 _TOKEN = re.compile(r"\n|[぀-ゟ]+|[゠-ヿｦ-ﾟ]+|[一-鿿々〆]+|[^\W\d_぀-ヿｦ-ﾟ一-鿿々〆]+(?:['’][^\W\d_]+)?|\d+")
 _SEPARATOR = re.compile(r"[\n|>»/・•·,、，;；\t]| - ")
-_CUT = re.compile(r"(?<=[。！？])\s*|(?<=[.!?])\s+|(?<=,)\s+(?=[A-Z][a-z]*\s[a-z]|[^\s,、]*[ぁ-ん][^\s,]*[。、])")
+_CUT = re.compile(r"([。！？])\s*|([.!?])\s+|(,)\s+(?=[A-Z][a-z]*\s[a-z]|[^\s,、]*[ぁ-ん][^\s,]*[。、])")
 _WRAP = re.compile(r"(?<=[^\s。！？.!?…」』”\"')）])[ \t]*\r?\n[> ]*(?=[^\W\d_A-Z])(?=[a-zß-öø-ÿ])")
+_LOWER = re.compile(r"\n[> ]*[a-zß-öø-ÿ]")  # needed for _WRAP
 _QUOTED = re.compile(r"^[> ]+", re.M)
 _CODE = re.compile(r"\b[A-Z]{2,}-?\d{3,}\b|\bSKU")
 _FACT = re.compile(r"\d{1,2}:\d{2}|(?:…|\.\.\.|:|：|\s)\s*[¥$€£]?\d[\d,.]*\s*(?:円|crowns?|EUR|USD|Kronen|coronas|couronnes|coroas|[¥$€£])?\s*\Z")
@@ -94,11 +95,11 @@ def lines_of(text: str) -> list[str]:
     """Lines, cut further at sentence ends, without quotation marks and markup that only formats."""
     if "<" in text:
         text = _TAG.sub(lambda m: m.group() if m.group()[:2].lower() == "<a" and "href" in m.group() else " " if m.group()[1:3].lower() == "/a" else "", text)
-    if "\n" in text:
+    if _LOWER.search(text):
         text = _WRAP.sub(" ", text)  # a sentence wrapped over lines
     if ">" in text:
         text = _QUOTED.sub("", text)
-    return [s for line in _CUT.sub("\n", text).splitlines() if (s := line.strip())]
+    return [s for line in _CUT.sub(r"\1\2\3\n", text).splitlines() if (s := line.strip())]
 
 
 def _per_line(found: list[str], n: int) -> np.ndarray:
@@ -139,7 +140,7 @@ def features(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     functional = np.fromiter((w in FUNCTION_WORDS or "\u3040" <= w[0] <= "\u309f" for w in words), bool, len(words))
     digit = np.fromiter((w[0].isdigit() for w in words), bool, len(words))
     weight = np.fromiter((0 if w[0].isdigit() else len(w) * (2 if "\u3040" <= w[0] <= "\u9fff" else 1) for w in words), float, len(words))
-    for i in np.unique(line[digit[codes]]).tolist() + [i for i, s in enumerate(lines) if "SKU" in s]:
+    for i in np.flatnonzero(np.bincount(line, digit[codes], n)).tolist() + [i for i, s in enumerate(lines) if "SKU" in s]:
         code[i] = 1 if _CODE.search(lines[i]) else 2 if _FACT.search(lines[i]) else 0
     # threes of words that the page repeats
     repeated = np.zeros(n)
@@ -157,7 +158,8 @@ def features(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     kept = (count[line] >= 6) & (window * WINDOW < np.maximum(1, count[line] - WINDOW // 2))
     place = line[kept] * (int(window.max(initial=0)) + 1) + window[kept]
     spots, size = np.unique(place, return_counts=True)
-    pairs = np.unique(place * (len(words) + 1) + codes[kept]) // (len(words) + 1)
+    pairs = np.sort(place * (len(words) + 1) + codes[kept])
+    pairs = pairs[np.diff(pairs, prepend=-1) > 0] // (len(words) + 1)
     same = 1 - np.bincount(np.searchsorted(spots, pairs), minlength=len(spots)) / np.maximum(size, 1)
     owner = spots // (int(window.max(initial=0)) + 1)
     variety = np.bincount(owner, same, n) / np.maximum(np.bincount(owner, minlength=n), 1)
